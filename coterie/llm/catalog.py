@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coterie.llm import mixing, near_dup, quality_rules, suffix_dedup
+from coterie.llm import mixing, near_dup, packing, quality_rules, suffix_dedup
 
-MODULES = (near_dup, mixing, suffix_dedup, quality_rules)
+MODULES = (near_dup, mixing, packing, suffix_dedup, quality_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
