@@ -7,6 +7,7 @@ it is unset (tests on one machine) a local folder is chosen.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -54,6 +55,12 @@ def release(df: DataFrame) -> None:
         drop_path(df.sparkSession, name)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle files of finished jobs now, not at the driver's next full collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear_scratch() -> None:
     """Remove everything :func:`materialize` wrote in this process."""
     while _OWN:
