@@ -34,12 +34,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coterie.functions.storage import materialize, scratch_path
+from coterie.functions.storage import free_shuffles, materialize, release, scratch_path
 from coterie.llm.common import small_batches
 
 LENGTH = 200
-GRAM = 100
-HOT_BYTES = 4_000_000
+GRAM = 40
+HOT_BYTES = 300_000
 #: Bytes of one text that are hashed at once, and window starts that are sorted at once.
 PIECE = 2_000_000
 SORTED_AT_ONCE = 60_000
@@ -224,6 +224,7 @@ class RepeatedStrings:
         one.select("k", "v.text", "n", "o.late", "o.id", "v.row").write.bucketBy(buckets, "k").option(
             "path", scratch_path(self.spark)
         ).option("compression", "zstd").saveAsTable(name)
+        free_shuffles(self.spark)
         return self.spark.table(name)
 
     def _segments(self) -> DataFrame:
@@ -235,17 +236,18 @@ class RepeatedStrings:
                 text, start, count, value, again = segments(b.column(1).cast(pa.binary()).to_pylist(), hasher)
                 if len(text):
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(pa.array(text)), pa.array(start), pa.array(count.astype(np.int32)),
-                         pa.array(value.view(np.int64)), pa.array(again)], names=["k", "start", "n_win", "value", "again"],
+                        [b.column(0).take(pa.array(text)), pa.array(start << 24 | count << 1 | again), pa.array(value.view(np.int64))],
+                        names=["k", "at", "value"],
                     )
 
-        return self.texts.select("k", "text").mapInArrow(run, "k binary, start bigint, n_win int, value bigint, again boolean")
+        # at: window start, number of windows (below 2^23, as a piece is) and whether it may repeat itself.
+        return self.texts.select("k", "text").mapInArrow(run, "k binary, at bigint, value bigint")
 
     def _strings(self, found: DataFrame) -> DataFrame:
         """The bytes of segments, from the stored texts: value, c (MD5), k, start, again, late, id, bytes."""
         import pyarrow as pa
 
-        lists = found.groupBy("k").agg(F.collect_list(F.struct("start", "n_win", "value", "again")).alias("s"))
+        lists = found.groupBy("k").agg(F.collect_list(F.struct("at", "value")).alias("s"))
 
         def run(batches):
             for b in batches:
@@ -253,16 +255,17 @@ class RepeatedStrings:
                 flat, sizes = s.flatten(), s.value_lengths().to_numpy()
                 which = np.repeat(np.arange(len(sizes)), sizes)
                 texts = b.column(1).cast(pa.binary()).to_pylist()
-                starts, wins = flat.field(0).to_pylist(), flat.field(1).to_pylist()
-                strings = [texts[i][a : a + n + LENGTH - 1] for i, a, n in zip(which.tolist(), starts, wins)]
+                packed = flat.field(0).to_numpy()
+                starts, wins, again = packed >> 24, packed >> 1 & (1 << 23) - 1, packed & 1 > 0
+                strings = [texts[i][a : a + n + LENGTH - 1] for i, a, n in zip(which.tolist(), starts.tolist(), wins.tolist())]
                 at = pa.array(which)
                 step = 20_000
                 for i in range(0, len(strings), step):
                     part = strings[i : i + step]
                     here = at[i : i + step]
                     yield pa.RecordBatch.from_arrays(
-                        [flat.field(2)[i : i + step], pa.array([hashlib.md5(x).digest() for x in part]), b.column(0).take(here),
-                         flat.field(0)[i : i + step], flat.field(3)[i : i + step], b.column(2).take(here), b.column(3).take(here),
+                        [flat.field(1)[i : i + step], pa.array([hashlib.md5(x).digest() for x in part]), b.column(0).take(here),
+                         pa.array(starts[i : i + step]), pa.array(again[i : i + step]), b.column(2).take(here), b.column(3).take(here),
                          pa.array(part, pa.binary())], names=["value", "c", "k", "start", "again", "late", "id", "bytes"],
                     )
 
@@ -271,8 +274,11 @@ class RepeatedStrings:
 
     def _ranges(self) -> DataFrame:
         found = materialize(self._segments())
-        seen = found.groupBy("value").agg(F.count(F.lit(1)).alias("__n"), F.max("again").alias("__a")).where("__n > 1 or __a")
+        again = F.max(F.col("at").bitwiseAND(F.lit(1)))
+        seen = found.groupBy("value").agg(F.count(F.lit(1)).alias("__n"), again.alias("__a")).where("__n > 1 or __a = 1")
         strings = materialize(self._strings(found.join(seen.select("value"), "value")))
+        release(found)
+        free_shuffles(self.spark)
         place = F.struct("late", "id", "k", "start")
         by_string = strings.groupBy("value", "c").agg(
             F.count(F.lit(1)).alias("n"), F.max("again").alias("again"), F.max(F.length("bytes")).alias("size"),
