@@ -21,7 +21,7 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coterie.functions.storage import materialize
@@ -125,6 +125,115 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return out.select(id_col, F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# ---------------------------------------------------------------- similarity of 0.8 or more
+
+SIMILARITY = 0.8
+WIDE_SHINGLE = 5
+#: A pair of similarity 0.8 differs in about 9 bits; pairs beyond NEAR bits are not looked at.
+TYPICAL, NEAR, MISSED = 9, 16, 0.03
+
+
+def sampled_masks(n: int) -> list[int]:
+    """Bit samples of a fingerprint for about ``n`` fingerprints.
+
+    A block has so many bits that an average key holds about four fingerprints; there are so many
+    blocks that a pair ``TYPICAL`` bits apart agrees on one but for the share ``MISSED``.
+    """
+    bits = int(np.clip(np.ceil(np.log2(max(n, 2))) - 2, 10, 40))
+    blocks = int(np.ceil(np.log(MISSED) / np.log(1 - (1 - bits / 64) ** TYPICAL)))
+    rng = np.random.default_rng(11)
+    masks = [int(sum(1 << int(i) for i in rng.choice(64, bits, replace=False))) for _ in range(blocks)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def _shingle_set(text: str | None, shingle: int) -> list[int]:
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode().lower().split()
+    grams = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
+    return np.array(sorted({xxh64_intdigest(g, 42) for g in grams}), np.uint64).view(np.int64).tolist()
+
+
+def _candidates(distinct: DataFrame, bucket: int) -> DataFrame:
+    """``u, v``: pairs of fingerprints that share a sampled block and are within ``NEAR`` bits.
+
+    In a key of more than ``bucket`` fingerprints each is paired with the smallest and with its next
+    eight in order; the blocks differ, so do these orders' neighbours, and links chain in the end.
+    """
+    masks = sampled_masks(distinct.count())
+    filed = distinct.select("__fp", F.posexplode(F.array(*[F.col("__fp").bitwiseAND(F.lit(m)) for m in masks])).alias("__c", "__key"))
+    sizes = filed.groupBy("__c", "__key").agg(F.count(F.lit(1)).alias("__n"), F.min("__fp").alias("__low")).where("__n > 1")
+    shared = materialize(filed.join(sizes, ["__c", "__key"]))
+    few = shared.where(F.col("__n") <= bucket)
+    pairs = few.select("__c", "__key", F.col("__fp").alias("u")).join(few.select("__c", "__key", F.col("__fp").alias("v")), ["__c", "__key"])
+    hot = shared.where(F.col("__n") > bucket)
+    # Runs of neighbours within slices of a hot key, so that no task sorts a whole one.
+    run = Window.partitionBy("__c", "__key", F.shiftright("__fp", 54)).orderBy("__fp")
+    beside = [F.lead("__fp", i).over(run) for i in range(1, 9)]
+    chained = hot.select(F.col("__fp").alias("u"), F.array("__low", *beside).alias("v")).select("u", F.explode("v").alias("v"))
+    both = pairs.select("u", "v").unionByName(chained)
+    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where(
+        (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= NEAR)
+    ).distinct()
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
+                     shingle: int = WIDE_SHINGLE, bucket: int = BUCKET) -> DataFrame:
+    """The documents without near copies, with the columns they came with.
+
+    Texts are near copies when the Jaccard similarity of their word shingles is ``similarity`` or more;
+    SimHash blocks find the candidates, the shingle sets confirm them.  Of each connected group the
+    document with the smallest id stays.  Texts without words are equal to each other.
+    """
+    import pyarrow as pa
+
+    small_batches(docs.sparkSession)
+    columns = docs.columns
+    at = columns.index(text)
+    inner = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    t, i = f"c{at}", f"c{columns.index(id_col)}"
+
+    def run(batches):
+        import hashlib
+
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            keys = [hashlib.md5(b" ".join((x or "").encode().lower().split())).digest() for x in texts]
+            fps = [text_fingerprint(x, shingle) for x in texts]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary()), pa.array(fps, pa.int64())], names=[*b.schema.names, "__k", "__fp"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema)
+    base = materialize(inner.mapInArrow(run, f"{kinds}, __k binary, __fp bigint").withColumn("__uid", F.monotonically_increasing_id()))
+    first = F.min(F.struct(F.col(i).isNull().alias("late"), F.col(i).alias("id"), F.col("__uid").alias("uid")))
+    keys = materialize(base.groupBy("__k", "__fp").agg(first.alias("w")).select("__k", "__fp", "w"))
+    heads = keys.groupBy("__fp").agg(F.min("__k").alias("__h"))
+    same = keys.join(heads, "__fp").where("__k != __h").select(F.col("__k").alias("a"), F.col("__h").alias("b"))
+    pairs = _candidates(heads.select("__fp"), bucket)
+    far = pairs.join(heads.select(F.col("__fp").alias("u"), F.col("__h").alias("a")), "u").join(
+        heads.select(F.col("__fp").alias("v"), F.col("__h").alias("b")), "v"
+    ).select("a", "b")
+    pairs = materialize(same.unionByName(far))
+    needed = pairs.select(F.col("a").alias("__k")).unionByName(pairs.select(F.col("b").alias("__k"))).distinct()
+    one = keys.join(needed, "__k").select(F.col("w.uid").alias("__uid"))
+    texts = base.select("__uid", "__k", t).join(one, "__uid")
+
+    def sets(batches):
+        for b in batches:
+            s = [_shingle_set(x, shingle) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.list_(pa.int64()))], names=["__k", "s"])
+
+    grams = materialize(texts.select("__k", t).mapInArrow(sets, "__k binary, s array<bigint>"))
+    joined = pairs.join(grams.select(F.col("__k").alias("a"), F.col("s").alias("sa")), "a").join(
+        grams.select(F.col("__k").alias("b"), F.col("s").alias("sb")), "b"
+    )
+    both = F.size(F.array_intersect("sa", "sb"))
+    edges = joined.select("a", "b", both.alias("x"), (F.size("sa") + F.size("sb") - both).alias("y")).where(F.col("x") >= F.lit(similarity) * F.col("y"))
+    parts = connected_components(edges, "a", "b")
+    roots = keys.join(parts, keys["__k"] == parts["node"], "left").select(F.coalesce("component", "__k").alias("__root"), "w")
+    stay = roots.groupBy("__root").agg(F.min("w").alias("w")).select(F.col("w.uid").alias("__uid"))
+    return base.join(stay, "__uid", "left_semi").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])
+
+
 QUERY = "op3_simhash"
 
 
