@@ -52,7 +52,7 @@ class WordTokenizer:
     PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
     PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)

@@ -21,6 +21,9 @@ How a global suffix order is had without one machine that holds it:
 5. A minimizer whose different strings exceed ``HOT_BYTES`` (a passage a little shorter than the
    window in very many contexts) is split further: its windows are dealt by their own MD5.  Exact too.
 
+Joins are sort-merge by hint: texts are far larger in memory than on disk, and their table is bucketed
+by the join key, so that side is not shuffled.
+
 Edge cases: null texts are empty; texts shorter than ``LENGTH`` bytes lose nothing; equal rows are
 copies of each other; a null id counts as the last; an empty table gives an empty result.
 """
@@ -269,14 +272,14 @@ class RepeatedStrings:
                          pa.array(part, pa.binary())], names=["value", "c", "k", "start", "again", "late", "id", "bytes"],
                     )
 
-        joined = self.texts.join(lists, "k").select("k", "text", "late", "id", "s")
+        joined = self.texts.join(lists.hint("merge"), "k").select("k", "text", "late", "id", "s")
         return joined.mapInArrow(run, f"value bigint, c binary, k binary, start bigint, again boolean, late boolean, id {self.id_kind}, bytes binary")
 
     def _ranges(self) -> DataFrame:
         found = materialize(self._segments())
         again = F.max(F.col("at").bitwiseAND(F.lit(1)))
         seen = found.groupBy("value").agg(F.count(F.lit(1)).alias("__n"), again.alias("__a")).where("__n > 1 or __a = 1")
-        strings = materialize(self._strings(found.join(seen.select("value"), "value")))
+        strings = materialize(self._strings(found.join(seen.select("value").hint("merge"), "value")))
         release(found)
         free_shuffles(self.spark)
         place = F.struct("late", "id", "k", "start")
@@ -288,18 +291,18 @@ class RepeatedStrings:
         by_value = counted.groupBy("value").agg(
             F.count(F.lit(1)).alias("__k"), F.sum("size").alias("__bytes"), F.max("again").alias("__a")
         ).where("__k > 1 or __a").select("value", "__bytes")
-        open_ = strings.join(by_value, "value").groupBy("value", "c").agg(
+        open_ = strings.join(by_value.hint("merge"), "value").groupBy("value", "c").agg(
             F.min("bytes").alias("bytes"), F.max("__bytes").alias("__bytes"), F.min(place).alias("first")
         )
         open_ = materialize(open_)
         sorted_ = self._by_suffix_order(open_.where(F.col("__bytes") <= HOT_BYTES))
         dealt = self._by_window(open_.where(F.col("__bytes") > HOT_BYTES))
         partial = sorted_.unionByName(dealt).groupBy("value", "c").agg(F.flatten(F.collect_list("r")).alias("r"))
-        marks = counted.join(partial, ["value", "c"], "left").where("n > 1 or r is not null").select(
+        marks = counted.join(partial.hint("merge"), ["value", "c"], "left").where("n > 1 or r is not null").select(
             F.col("value"), F.col("c"), "n", "r", *(["first"] if self.first else [])
         )
         whole = F.array(F.struct(F.lit(0).cast("bigint").alias("lo"), (F.length("bytes") - LENGTH + 1).cast("bigint").alias("hi")))
-        at = strings.select("value", "c", "k", "start", "late", "id", whole.alias("whole")).join(marks, ["value", "c"])
+        at = strings.select("value", "c", "k", "start", "late", "id", whole.alias("whole")).join(marks.hint("merge"), ["value", "c"])
         if self.first:
             is_first = (F.col("first.k") == F.col("k")) & (F.col("first.start") == F.col("start"))
             ranges = F.when(is_first, F.col("r")).otherwise(F.col("whole"))
@@ -365,7 +368,7 @@ def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     import pyarrow as pa
 
     found = RepeatedStrings(docs, id_col, text, keep="none")
-    joined = found.texts.select("k", "text", "n").join(found.ranges, "k", "left").select("k", "text", "n", "ranges")
+    joined = found.texts.select("k", "text", "n").join(found.ranges.hint("merge"), "k", "left").select("k", "text", "n", "ranges")
 
     def run(batches):
         for b in batches:
@@ -384,7 +387,7 @@ def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
 
     by_text = joined.mapInArrow(run, "k binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     ids = docs.select(id_col, F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("__k"))
-    return ids.join(by_text, F.col("__k") == F.col("k")).select(id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return ids.join(by_text.hint("merge"), F.col("__k") == F.col("k")).select(id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -398,7 +401,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     columns = docs.columns
     long_ = F.octet_length(F.coalesce(F.col(text), F.lit(""))) >= LENGTH
     found = RepeatedStrings(docs.where(long_), id_col, text, keep="first", carry=[c for c in columns if c != text])
-    joined = found.texts.select("k", "text", "row").join(found.ranges, "k", "left").select("text", "ranges", "row")
+    joined = found.texts.select("k", "text", "row").join(found.ranges.hint("merge"), "k", "left").select("text", "ranges", "row")
     kind = joined.schema["row"].dataType.simpleString()
 
     def run(batches):
