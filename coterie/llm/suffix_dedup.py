@@ -41,7 +41,7 @@ from coterie.functions.storage import free_shuffles, materialize, release, scrat
 from coterie.llm.common import small_batches
 
 LENGTH = 200
-GRAM = 40
+GRAM = 64
 HOT_BYTES = 300_000
 #: Bytes of one text that are hashed at once, and window starts that are sorted at once.
 PIECE = 2_000_000
@@ -52,7 +52,9 @@ _MIX = 0xD6E8FEB86659FD93
 
 
 def _powers(n: int, base: int) -> np.ndarray:
-    return np.multiply.accumulate(np.concatenate(([1], np.full(max(n - 1, 0), base, np.uint64))).astype(np.uint64))
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
 class GramHash:
@@ -349,15 +351,18 @@ class RepeatedStrings:
 
     def _by_window(self, strings: DataFrame) -> DataFrame:
         """The same for strings of very frequent minimizers: every window goes by its own hash."""
-        w = strings.select(
-            "value", "c", "first", "bytes", F.explode(F.sequence(F.lit(0), F.length("bytes") - LENGTH)).alias("off")
-        ).select(
-            "value", "c", F.unhex(F.md5(F.substring(F.col("bytes"), F.col("off") + 1, F.lit(LENGTH)))).alias("h"),
+        hashes = F.transform(
+            F.sequence(F.lit(0), F.length("bytes") - LENGTH),
+            lambda i: F.unhex(F.md5(F.substring(F.col("bytes"), i + 1, F.lit(LENGTH)))),
+        )
+        w = strings.select("value", "c", "first", hashes.alias("hs")).select("value", "c", "first", F.posexplode("hs").alias("off", "h"))
+        w = w.select(
+            "value", "c", "h",
             F.struct("first.late", "first.id", "first.k", (F.col("first.start") + F.col("off")).alias("start")).alias("p"),
             F.col("off").cast("bigint").alias("off"),
         )
         heads = w.groupBy("h").agg(F.count(F.lit(1)).alias("__n"), F.min("p").alias("__p")).where("__n > 1")
-        again = w.join(heads, "h")
+        again = w.join(heads.hint("merge"), "h")
         if self.first:
             again = again.where((F.col("p.k") != F.col("__p.k")) | (F.col("p.start") != F.col("__p.start")))
         return again.groupBy("value", "c").agg(F.collect_list(F.struct(F.col("off").alias("lo"), (F.col("off") + 1).alias("hi"))).alias("r"))
