@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coterie.llm import html_text, mixing, near_dup, packing, quality_model, quality_rules, suffix_dedup, vector_search
+from coterie.llm import html_text, licenses, mixing, near_dup, packing, quality_model, quality_rules, suffix_dedup, token_counts, vector_search
 
-MODULES = (quality_model, near_dup, vector_search, html_text, mixing, packing, suffix_dedup, quality_rules)
+MODULES = (token_counts, quality_model, near_dup, vector_search, html_text, licenses, mixing, packing, suffix_dedup, quality_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
