@@ -37,6 +37,13 @@ def without_ring_features(names: list[str]) -> list[str]:
     return [n for n in names if not n.startswith(RING_PREFIXES)]
 
 
+def pair_correlation(a: str, b: str):
+    """Pearson over rows where both are known; null, not an error, where one of them is constant."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    spread = F.stddev_pop(F.when(both, F.col(a))) * F.stddev_pop(F.when(both, F.col(b)))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 class VBlockReducer:
     """Drops columns that correlate with one already kept, within blocks of equal null counts.
 
@@ -68,7 +75,7 @@ class VBlockReducer:
         corr: dict[frozenset, float | None] = {}
         for i in range(0, len(wanted), 200):  # columns of one aggregate row, not data
             part = wanted[i : i + 200]
-            row = sample.agg(*[F.abs(F.corr(a, b)).alias(f"c{k}") for k, (a, b) in enumerate(part)]).collect()[0]
+            row = sample.agg(*[F.abs(pair_correlation(a, b)).alias(f"c{k}") for k, (a, b) in enumerate(part)]).collect()[0]
             corr |= {frozenset(p): row[f"c{k}"] for k, p in enumerate(part)}
         for b in blocks.values():
             keep: list[str] = []

@@ -273,8 +273,8 @@ def roc_auc(spark, sf):
     return evaluate.headline(scored(spark, sf)).select(*_r("roc_auc"))
 
 
-@query(f"""WITH {SCORED_SQL}, r AS (SELECT y, row_number() OVER (ORDER BY score DESC, id) AS r FROM s), k AS (SELECT least(k, (SELECT count(*) FROM s))::BIGINT AS k FROM (VALUES (100), (500), (1000), (5000)) t(k))
-SELECT k, round(sum(y) FILTER (r <= k) / k::DOUBLE, 6) AS precision_at_k, round(sum(y) FILTER (r <= k) / sum(y)::DOUBLE, 6) AS recall_at_k, sum(y) FILTER (r <= k)::BIGINT AS frauds_caught FROM k, r GROUP BY k""")
+@query(f"""WITH {SCORED_SQL}, r AS (SELECT y, row_number() OVER (ORDER BY score DESC, id) AS r FROM s), k AS (SELECT k AS k0, least(k, (SELECT count(*) FROM s))::BIGINT AS k FROM (VALUES (100), (500), (1000), (5000)) t(k))
+SELECT k, round(sum(y) FILTER (r <= k) / k::DOUBLE, 6) AS precision_at_k, round(sum(y) FILTER (r <= k) / sum(y)::DOUBLE, 6) AS recall_at_k, sum(y) FILTER (r <= k)::BIGINT AS frauds_caught FROM k, r GROUP BY k0, k""")
 def precision_at_k(spark, sf):
     d = evaluate.precision_at_k(scored(spark, sf))
     return d.select("k", *_r("precision_at_k", "recall_at_k"), "frauds_caught")
