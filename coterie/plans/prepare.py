@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from coterie.operators import rings
 from coterie.operators.entity import add_time_features, resolve
+from coterie.operators.evaluate import CostModel, summary_report
 from coterie.operators.history import LABEL_LAG_DAYS, add_ring_history
 from coterie.operators.model import feature_names
 from coterie.operators.split import train_test
@@ -55,6 +56,28 @@ def save(prepared: Prepared, path: str) -> None:
     meta.coalesce(1).write.mode("overwrite").text(path + "/meta")
 
 
+def write_report(scored: DataFrame, path: str, cost: CostModel = CostModel(), info: dict | None = None) -> None:
+    """Metric tables as JSON lines and the cost curve as CSV, each in its folder; ``scored``: id, y, score, amt."""
+    import json
+
+    spark = scored.sparkSession
+    parts = summary_report(scored, cost)
+    parts["info"] = spark.createDataFrame([(json.dumps({"cost_model": parts.pop("cost_model"), **(info or {})}),)], "json string")
+    for name, table in parts.items():
+        table.coalesce(1).write.mode("overwrite").json(f"{path}/{name}")
+    parts["cost_curve"].coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/cost_curve_csv")
+
+
+def read_report(spark, path: str, name: str) -> DataFrame | None:
+    """One table of a report, or None if it is not there."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.json(f"{path}/{name}")
+    except AnalysisException:
+        return None
+
+
 def load_scored(spark, path: str, model, names: list[str]) -> DataFrame:
     """The test split with scores; only the columns needed are read."""
     extra = [c for c in ("isFraud", "TransactionDT", "TransactionAmt", "ring_id", "client_id", ID) if c not in names]
