@@ -17,6 +17,7 @@ and never is the smallest of its component unless all are null; repeated rows st
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from itertools import combinations
 
@@ -24,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coterie.functions.storage import materialize
+from coterie.functions.storage import free_shuffles, materialize, scratch_path
 from coterie.llm.common import small_batches
 from coterie.operators.components import connected_components
 
@@ -130,7 +131,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 SIMILARITY = 0.8
 WIDE_SHINGLE = 5
 #: A pair of similarity 0.8 differs in about 9 bits; pairs beyond NEAR bits are not looked at.
-TYPICAL, NEAR, MISSED = 9, 16, 0.03
+TYPICAL, NEAR, MISSED = 9, 14, 0.03
 
 
 def sampled_masks(n: int) -> list[int]:
@@ -203,7 +204,13 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary()), pa.array(fps, pa.int64())], names=[*b.schema.names, "__k", "__fp"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema)
-    base = materialize(inner.mapInArrow(run, f"{kinds}, __k binary, __fp bigint").withColumn("__uid", F.monotonically_increasing_id()))
+    spark = docs.sparkSession
+    numbered = inner.mapInArrow(run, f"{kinds}, __k binary, __fp bigint").withColumn("__uid", F.monotonically_increasing_id())
+    # Stored in buckets of the row number: the two joins on it below then leave the texts where they are.
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), "coterie_near_" + uuid.uuid4().hex
+    numbered.repartition(n, "__uid").write.bucketBy(n, "__uid").option("path", scratch_path(spark)).option("compression", "zstd").saveAsTable(name)
+    base = spark.table(name)
+    free_shuffles(spark)
     first = F.min(F.struct(F.col(i).isNull().alias("late"), F.col(i).alias("id"), F.col("__uid").alias("uid")))
     keys = materialize(base.groupBy("__k", "__fp").agg(first.alias("w")).select("__k", "__fp", "w"))
     heads = keys.groupBy("__fp").agg(F.min("__k").alias("__h"))
@@ -213,9 +220,10 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
         heads.select(F.col("__fp").alias("v"), F.col("__h").alias("b")), "v"
     ).select("a", "b")
     pairs = materialize(same.unionByName(far))
+    free_shuffles(spark)
     needed = pairs.select(F.col("a").alias("__k")).unionByName(pairs.select(F.col("b").alias("__k"))).distinct()
     one = keys.join(needed, "__k").select(F.col("w.uid").alias("__uid"))
-    texts = base.select("__uid", "__k", t).join(one, "__uid")
+    texts = base.select("__uid", "__k", t).join(one.hint("merge"), "__uid")
 
     def sets(batches):
         for b in batches:
@@ -223,15 +231,15 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.list_(pa.int64()))], names=["__k", "s"])
 
     grams = materialize(texts.select("__k", t).mapInArrow(sets, "__k binary, s array<bigint>"))
-    joined = pairs.join(grams.select(F.col("__k").alias("a"), F.col("s").alias("sa")), "a").join(
-        grams.select(F.col("__k").alias("b"), F.col("s").alias("sb")), "b"
+    joined = pairs.hint("merge").join(grams.select(F.col("__k").alias("a"), F.col("s").alias("sa")), "a").hint("merge").join(
+        grams.select(F.col("__k").alias("b"), F.col("s").alias("sb")).hint("merge"), "b"
     )
     both = F.size(F.array_intersect("sa", "sb"))
     edges = joined.select("a", "b", both.alias("x"), (F.size("sa") + F.size("sb") - both).alias("y")).where(F.col("x") >= F.lit(similarity) * F.col("y"))
     parts = connected_components(edges, "a", "b")
     roots = keys.join(parts, keys["__k"] == parts["node"], "left").select(F.coalesce("component", "__k").alias("__root"), "w")
     stay = roots.groupBy("__root").agg(F.min("w").alias("w")).select(F.col("w.uid").alias("__uid"))
-    return base.join(stay, "__uid", "left_semi").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])
+    return base.join(stay.hint("merge"), "__uid", "left_semi").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])
 
 
 QUERY = "op3_simhash"
