@@ -54,7 +54,7 @@ def grams(words: list[str]) -> list[str]:
 
 
 class LicenseModel:
-    def __init__(self, seed: int = 3, rounds: int = 400, rate: float = 0.5, l2: float = 1e-3):
+    def __init__(self, seed: int = 3, rounds: int = 200, rate: float = 1.0, l2: float = 1e-3):
         self.families = [*TEMPLATES, "unknown"]
         self.templates = [(f, _WORDS.findall(t.lower())) for f, ts in TEMPLATES.items() for t in ts]
         self.features = {g: i for i, g in enumerate(sorted({g for _, w in self.templates for g in grams(w)}))}
@@ -62,7 +62,7 @@ class LicenseModel:
         self.bags = [(f, set(grams(w))) for f, w in self.templates]
         rng = Random(seed)
         x, y = self._samples(rng, 60)
-        self.w = np.zeros((len(self.families), len(self.features) + 1))
+        self.w = np.zeros((len(self.families), len(self.features) + 1), np.float32)
         for _ in range(rounds):
             p = self._softmax(x @ self.w.T)
             p[np.arange(len(y)), y] -= 1
@@ -91,7 +91,7 @@ class LicenseModel:
                 salad = rng.choices(every, k=min(len(t), 4)) if rng.random() < 0.5 else []
                 rows.append(junk(rng.randrange(1, 40)) + salad)
                 y.append(len(self.families) - 1)
-        return np.stack([self.vector(r) for r in rows]), np.array(y)
+        return np.stack([self.vector(r) for r in rows]).astype(np.float32), np.array(y)
 
     def vector(self, words: list[str]) -> np.ndarray:
         v = np.zeros(len(self.features) + 1)
