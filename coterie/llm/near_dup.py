@@ -22,10 +22,10 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coterie.functions.storage import free_shuffles, materialize, scratch_path
+from coterie.functions.storage import free_shuffles, materialize, release, scratch_path
 from coterie.llm.common import small_batches
 from coterie.operators.components import connected_components
 
@@ -130,21 +130,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 SIMILARITY = 0.8
 WIDE_SHINGLE = 5
-#: A pair of similarity 0.8 differs in about 9 bits; pairs beyond NEAR bits are not looked at.
-TYPICAL, NEAR, MISSED = 9, 14, 0.03
-
-
-def sampled_masks(n: int) -> list[int]:
-    """Bit samples of a fingerprint for about ``n`` fingerprints.
-
-    A block has so many bits that an average key holds about four fingerprints; there are so many
-    blocks that a pair ``TYPICAL`` bits apart agrees on one but for the share ``MISSED``.
-    """
-    bits = int(np.clip(np.ceil(np.log2(max(n, 2))) - 2, 10, 40))
-    blocks = int(np.ceil(np.log(MISSED) / np.log(1 - (1 - bits / 64) ** TYPICAL)))
-    rng = np.random.default_rng(11)
-    masks = [int(sum(1 << int(i) for i in rng.choice(64, bits, replace=False))) for _ in range(blocks)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+#: Texts of the sample that tells common shingles; a shingle in COMMON of them is common, COMMONEST at most are kept.
+SAMPLE, COMMON, COMMONEST = 8192, 4, 100_000
+#: Bits of the parity signature that rules pairs out before their shingle sets are fetched.
+PARITY = 1024
 
 
 def _shingle_set(text: str | None, shingle: int) -> list[int]:
@@ -155,27 +144,118 @@ def _shingle_set(text: str | None, shingle: int) -> list[int]:
     return np.array(sorted({xxh64_intdigest(g, 42) for g in grams}), np.uint64).view(np.int64).tolist()
 
 
-def _candidates(distinct: DataFrame, bucket: int) -> DataFrame:
-    """``u, v``: pairs of fingerprints that share a sampled block and are within ``NEAR`` bits.
+def prefix_length(size: int, similarity: float) -> int:
+    """Two sets of that similarity or more share one of so many first elements, in any order common to both."""
+    return size - int(np.ceil(similarity * size - 1e-6)) + 1 if size else 0
+
+
+def _ordered(s: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The shingles with the common ones last, rarer before commoner; ``common`` is sorted, ``rank`` its order."""
+    if not len(common):
+        return s
+    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+    last = common[at] == s
+    return np.concatenate([s[~last], s[last][np.argsort(rank[at[last]], kind="stable")]])
+
+
+def _reaches(u: str, v: str, similarity: float) -> Column:
+    """Whether two sets can still be similar enough if their first shared shingle is at these positions."""
+    rest = F.least(F.col(f"{u}.size") - F.col(f"{u}.pos"), F.col(f"{v}.size") - F.col(f"{v}.pos"))
+    return rest >= F.lit(similarity / (1 + similarity)) * (F.col(f"{u}.size") + F.col(f"{v}.size")) - 1e-6
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct()
+
+
+def _similar(pairs: DataFrame, filed: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs ``u, v`` whose shingle sets are similar enough; ``texts`` has ``__uid`` and the text."""
+    import pyarrow as pa
+
+    def possible(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            p, q = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("p", "q"))
+            differ = np.bitwise_count(p ^ q).sum(1, dtype=np.int64)
+            y = b.column("y").to_numpy()
+            # Of y elements in both sets together, y (1 - similarity) / (1 + similarity) at most are in one only.
+            yield b.filter(pa.array(differ <= y * ((1 - similarity) / (1 + similarity)) + 1e-6)).select(["u", "v"])
+
+    one, two = (filed.select(F.col("uid").alias(c), F.col("size").alias(f"n{c}"), F.col("sig").alias(g)) for c, g in (("u", "p"), ("v", "q")))
+    close = pairs.join(one, "u").join(two, "v").select("u", "v", "p", "q", (F.col("nu") + F.col("nv")).alias("y"))
+    close = materialize(close.mapInArrow(possible, "u bigint, v bigint"))
+    needed = close.select(F.col("u").alias("__uid")).unionByName(close.select(F.col("v").alias("__uid"))).distinct()
+
+    def sets(batches):
+        for b in batches:
+            s = [_shingle_set(x, shingle) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.list_(pa.int64()))], names=["uid", "s"])
+
+    grams = materialize(texts.join(needed.hint("merge"), "__uid").mapInArrow(sets, "uid bigint, s array<bigint>"))
+    joined = close.hint("merge").join(grams.select(F.col("uid").alias("u"), F.col("s").alias("su")), "u").hint("merge").join(
+        grams.select(F.col("uid").alias("v"), F.col("s").alias("sv")).hint("merge"), "v"
+    )
+    both = F.size(F.array_intersect("su", "sv"))
+    edges = joined.select("u", "v", both.alias("x"), (F.size("su") + F.size("sv") - both).alias("y")).where(F.col("x") >= F.lit(similarity) * F.col("y"))
+    out = materialize(edges.select("u", "v"))
+    release(grams)
+    free_shuffles(out.sparkSession)
+    return out
+
 
-    In a key of more than ``bucket`` fingerprints each is paired with the smallest and with its next
-    eight in order; the blocks differ, so do these orders' neighbours, and links chain in the end.
+def _edges(texts: DataFrame, similarity: float, shingle: int, bucket: int) -> DataFrame:
+    """``u, v``: pairs of similar texts whose components are those of all similar pairs; ``texts`` are different ones.
+
+    Each text is filed under the first shingles of its set, common ones last, so that all similar pairs share a
+    key.  Keys of up to ``bucket`` texts are expanded.  In a larger one all texts are first compared with its hub,
+    the text with most of its shingles in such keys; then each text outside of the key's largest component with
+    all of other components.
     """
-    masks = sampled_masks(distinct.count())
-    filed = distinct.select("__fp", F.posexplode(F.array(*[F.col("__fp").bitwiseAND(F.lit(m)) for m in masks])).alias("__c", "__key"))
-    sizes = filed.groupBy("__c", "__key").agg(F.count(F.lit(1)).alias("__n"), F.min("__fp").alias("__low")).where("__n > 1")
-    shared = materialize(filed.join(sizes, ["__c", "__key"]))
-    few = shared.where(F.col("__n") <= bucket)
-    pairs = few.select("__c", "__key", F.col("__fp").alias("u")).join(few.select("__c", "__key", F.col("__fp").alias("v")), ["__c", "__key"])
-    hot = shared.where(F.col("__n") > bucket)
-    # Runs of neighbours within slices of a hot key, so that no task sorts a whole one.
-    run = Window.partitionBy("__c", "__key", F.shiftright("__fp", 54)).orderBy("__fp")
-    beside = [F.lead("__fp", i).over(run) for i in range(1, 9)]
-    chained = hot.select(F.col("__fp").alias("u"), F.array("__low", *beside).alias("v")).select("u", F.explode("v").alias("v"))
-    both = pairs.select("u", "v").unionByName(chained)
-    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where(
-        (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= NEAR)
-    ).distinct()
+    import pyarrow as pa
+
+    spark = texts.sparkSession
+
+    def every(batches):
+        for b in batches:
+            s = [_shingle_set(x, shingle) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(sum(s, []), np.int64))], names=["tok"])
+
+    share = SAMPLE / max(texts.count(), 1)
+    some = texts.where(F.pmod(F.xxhash64("__uid"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    counts = some.mapInArrow(every, "tok bigint").groupBy("tok").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    top = [r["tok"] for r in counts.orderBy(F.desc("n"), "tok").limit(COMMONEST).collect()][::-1]
+    common = np.array(top, np.int64)
+    rank = np.argsort(common)
+    common = common[rank]
+    held = spark.sparkContext.broadcast((common, rank))
+
+    def first(batches):
+        for b in batches:
+            sizes, sigs, toks = [], [], []
+            for x in b.column(1).to_pylist():
+                s = np.array(_shingle_set(x, shingle), np.int64)
+                sizes.append(len(s))
+                sigs.append(np.packbits((np.bincount(s & (PARITY - 1), minlength=PARITY) & 1).astype(np.uint8)).tobytes())
+                toks.append(_ordered(np.sort(s), *held.value)[: prefix_length(len(s), similarity)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(toks, pa.list_(pa.int64()))], names=["uid", "size", "sig", "toks"])
+
+    filed = materialize(texts.mapInArrow(first, "uid bigint, size int, sig binary, toks array<bigint>"))
+    keys = filed.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(filed.select("uid", "size", F.posexplode("toks").alias("pos", "tok")).join(keys, "tok"))
+    free_shuffles(spark)
+    few = shared.where(F.col("n") <= bucket)
+    cold = few.alias("a").join(few.alias("b"), "tok").where((F.col("a.uid") < F.col("b.uid")) & _reaches("a", "b", similarity)).select(F.col("a.uid").alias("u"), F.col("b.uid").alias("v"))
+    hot = shared.where(F.col("n") > bucket)
+    score = hot.groupBy("uid").agg((F.count(F.lit(1)) / F.max("size")).alias("score"))
+    hubs = hot.join(score, "uid").groupBy("tok").agg(F.max(F.struct("score", "uid"))["uid"].alias("v"))
+    edges = _similar(_both_ways(cold.unionByName(hot.join(hubs, "tok").select(F.col("uid").alias("u"), "v"))), filed, texts, similarity, shingle)
+    parts = connected_components(edges, "u", "v")
+    placed = materialize(hot.join(parts, hot["uid"] == parts["node"], "left").select("tok", "uid", "size", "pos", F.coalesce("component", "uid").alias("part")))
+    most = placed.groupBy("tok", "part").agg(F.count(F.lit(1)).alias("m")).groupBy("tok").agg(F.max(F.struct("m", "part"))["part"].alias("most"))
+    strays = placed.join(most, "tok").where("part != most")
+    rest = strays.alias("a").join(placed.alias("b"), "tok").where((F.col("a.part") != F.col("b.part")) & _reaches("a", "b", similarity)).select(F.col("a.uid").alias("u"), F.col("b.uid").alias("v"))
+    return edges.unionByName(_similar(_both_ways(rest), filed, texts, similarity, shingle))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
@@ -183,7 +263,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     """The documents without near copies, with the columns they came with.
 
     Texts are near copies when the Jaccard similarity of their word shingles is ``similarity`` or more;
-    SimHash blocks find the candidates, the shingle sets confirm them.  Of each connected group the
+    a prefix filter finds all candidates, the shingle sets confirm them.  Of each connected group the
     document with the smallest id stays.  Texts without words are equal to each other.
     """
     import pyarrow as pa
@@ -200,44 +280,21 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
         for b in batches:
             texts = b.column(at).to_pylist()
             keys = [hashlib.md5(b" ".join((x or "").encode().lower().split())).digest() for x in texts]
-            fps = [text_fingerprint(x, shingle) for x in texts]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary()), pa.array(fps, pa.int64())], names=[*b.schema.names, "__k", "__fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], names=[*b.schema.names, "__k"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema)
     spark = docs.sparkSession
-    numbered = inner.mapInArrow(run, f"{kinds}, __k binary, __fp bigint").withColumn("__uid", F.monotonically_increasing_id())
-    # Stored in buckets of the row number: the two joins on it below then leave the texts where they are.
+    numbered = inner.mapInArrow(run, f"{kinds}, __k binary").withColumn("__uid", F.monotonically_increasing_id())
+    # Stored in buckets of the row number: the joins on it below then leave the texts where they are.
     n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), "coterie_near_" + uuid.uuid4().hex
     numbered.repartition(n, "__uid").write.bucketBy(n, "__uid").option("path", scratch_path(spark)).option("compression", "zstd").saveAsTable(name)
     base = spark.table(name)
     free_shuffles(spark)
     first = F.min(F.struct(F.col(i).isNull().alias("late"), F.col(i).alias("id"), F.col("__uid").alias("uid")))
-    keys = materialize(base.groupBy("__k", "__fp").agg(first.alias("w")).select("__k", "__fp", "w"))
-    heads = keys.groupBy("__fp").agg(F.min("__k").alias("__h"))
-    same = keys.join(heads, "__fp").where("__k != __h").select(F.col("__k").alias("a"), F.col("__h").alias("b"))
-    pairs = _candidates(heads.select("__fp"), bucket)
-    far = pairs.join(heads.select(F.col("__fp").alias("u"), F.col("__h").alias("a")), "u").join(
-        heads.select(F.col("__fp").alias("v"), F.col("__h").alias("b")), "v"
-    ).select("a", "b")
-    pairs = materialize(same.unionByName(far))
-    free_shuffles(spark)
-    needed = pairs.select(F.col("a").alias("__k")).unionByName(pairs.select(F.col("b").alias("__k"))).distinct()
-    one = keys.join(needed, "__k").select(F.col("w.uid").alias("__uid"))
-    texts = base.select("__uid", "__k", t).join(one.hint("merge"), "__uid")
-
-    def sets(batches):
-        for b in batches:
-            s = [_shingle_set(x, shingle) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.list_(pa.int64()))], names=["__k", "s"])
-
-    grams = materialize(texts.select("__k", t).mapInArrow(sets, "__k binary, s array<bigint>"))
-    joined = pairs.hint("merge").join(grams.select(F.col("__k").alias("a"), F.col("s").alias("sa")), "a").hint("merge").join(
-        grams.select(F.col("__k").alias("b"), F.col("s").alias("sb")).hint("merge"), "b"
-    )
-    both = F.size(F.array_intersect("sa", "sb"))
-    edges = joined.select("a", "b", both.alias("x"), (F.size("sa") + F.size("sb") - both).alias("y")).where(F.col("x") >= F.lit(similarity) * F.col("y"))
-    parts = connected_components(edges, "a", "b")
-    roots = keys.join(parts, keys["__k"] == parts["node"], "left").select(F.coalesce("component", "__k").alias("__root"), "w")
+    keys = materialize(base.groupBy("__k").agg(first.alias("w")))
+    texts = base.select("__uid", t).join(keys.select(F.col("w.uid").alias("__uid")).hint("merge"), "__uid")
+    parts = connected_components(_edges(texts, similarity, shingle, bucket), "u", "v")
+    roots = keys.join(parts, keys["w.uid"] == parts["node"], "left").select(F.coalesce("component", "w.uid").alias("__root"), "w")
     stay = roots.groupBy("__root").agg(F.min("w").alias("w")).select(F.col("w.uid").alias("__uid"))
     return base.join(stay.hint("merge"), "__uid", "left_semi").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])
 

@@ -171,6 +171,42 @@ def test_keep_one_of_each(odd, none):
     assert near_dup.keep_one_of_each(none).count() == 0
 
 
+def brute_kept(rows, similarity=0.8):
+    """Ids that stay when of each connected group of similar texts the smallest does."""
+    sets = [near_dup._shingle_set(t, 5) for _, t in rows]
+    often = collections.Counter(g for s in sets for g in s)
+    at = {g: k for k, g in enumerate(g for g, c in often.items() if c > 1)}
+    m = np.zeros((len(sets), len(at)), np.float32)
+    for k, s in enumerate(sets):
+        m[k, [at[g] for g in s if g in at]] = 1
+    both, n = m @ m.T, np.array(list(map(len, sets)))
+    like = (both >= similarity * (n[:, None] + n - both)) | np.eye(len(sets), dtype=bool)
+    part = np.arange(len(sets))
+    while (new := np.where(like, part, len(sets)).min(1)).tolist() != part.tolist():
+        part = new
+    return {min(d for (d, _), p in zip(rows, part) if p == k) for k in set(part.tolist())}
+
+
+def edited(rng, text, n):
+    out = text.split()
+    for k in rng.sample(range(len(out)), n):
+        out[k] = words(rng, 1) + str(rng.random())
+    return " ".join(out)
+
+
+def test_near_copies_at_the_limit_are_all_found(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        base = words(rng, 200)
+        near = base.split()
+        for k in range(4):  # four edits lose 20 of 196 shingles: a similarity of 176 / 216, just over 0.8
+            near[20 + 45 * k] = f"edit{i}x{k}"
+        rows += [(2 * i, base), (2 * i + 1, " ".join(near))]
+    got = {r["doc_id"] for r in near_dup.keep_one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_kept(rows) == {2 * i for i in range(400)}
+
+
 def brute_repeats(rows, n=suffix_dedup.LENGTH, first=False):
     data = [(d, t.encode()) for d, t in rows]
     seen = collections.Counter(b[i : i + n] for _, b in data for i in range(len(b) - n + 1))
