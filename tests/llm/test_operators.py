@@ -207,6 +207,17 @@ def test_near_copies_at_the_limit_are_all_found(spark):
     assert got == brute_kept(rows) == {2 * i for i in range(400)}
 
 
+def test_large_groups_of_independent_edits(spark):
+    """Copies at 0.8 or more to their original, if it is there, and less to each other."""
+    rng = random.Random(9)
+    one, two = words(rng, 200), words(rng, 200)
+    texts = [one, *(edited(rng, one, 3) for _ in range(1100)), *(edited(rng, two, 4) for _ in range(150))]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {r["doc_id"] for r in near_dup.keep_one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_kept(rows) and len(got) > 100
+
+
 def brute_repeats(rows, n=suffix_dedup.LENGTH, first=False):
     data = [(d, t.encode()) for d, t in rows]
     seen = collections.Counter(b[i : i + n] for _, b in data for i in range(len(b) - n + 1))
