@@ -218,6 +218,18 @@ def test_large_groups_of_independent_edits(spark):
     assert got == brute_kept(rows) and len(got) > 100
 
 
+def test_equal_fingerprints_link_by_every_text(spark, monkeypatch):
+    """Three texts of which only two are similar; SimHash takes all for equal."""
+    monkeypatch.setattr(near_dup, "text_fingerprint", lambda *_: 7)
+    rng = random.Random(10)
+    b = words(rng, 200)
+    rows = []
+    for k in range(12):  # in some order of the texts' MD5s the middle one is not the head
+        rows += [(3 * k, f"k{k} " + b), (3 * k + 1, edited(rng, f"k{k} " + b, 3)), (3 * k + 2, words(rng, 200))]
+    got = {r["doc_id"] for r in near_dup.keep_one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_kept(rows)
+
+
 def brute_repeats(rows, n=suffix_dedup.LENGTH, first=False):
     data = [(d, t.encode()) for d, t in rows]
     seen = collections.Counter(b[i : i + n] for _, b in data for i in range(len(b) - n + 1))
