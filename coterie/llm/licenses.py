@@ -12,7 +12,8 @@ over ``unknown``) needs no scoring, which is most.
 
 Edge cases: a null or blank text has no paragraphs; a null id is kept; repeated rows stay; a paragraph
 of any length is scored once per window of ``WINDOW`` words, half overlapping, so a notice inside long
-text is found; an empty table gives an empty result.
+text is found; windows also run over the lines between two blank ones, so a wrapped notice is found, at
+the line it begins in; each of several notices in a line is a hit; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -125,6 +126,73 @@ class LicenseModel:
                 best = got
         return best
 
+    def spans(self, words: list[str], k: int) -> list[tuple[int, int, float]]:
+        """(start, end, similarity) of the places where template ``k`` stands nearly whole, apart from each other."""
+        bag, size = self.bags[k][1], len(self.templates[k][1])
+        if len(bag.intersection(grams(words))) < MIN_SIMILARITY * len(bag):
+            return []
+        n = size + size // 4
+        like, a = max(((len(bag.intersection(grams(words[a : a + n]))) / len(bag), -a) for a in range(max(1, len(words) - size + 1))))
+        if like < MIN_SIMILARITY:
+            return []
+        a, b = -a, min(-a + n, len(words))
+        score = lambda x, y: len(bag.intersection(grams(words[x:y]))) / len(bag)
+        while score(a + 1, b) >= like:
+            a += 1
+        while score(a, b - 1) >= like:
+            b -= 1
+        return [*self.spans(words[:a], k), (a, b, like), *((b + x, b + y, z) for x, y, z in self.spans(words[b:], k))]
+
+    def notices(self, lines: list[str]) -> list[tuple[int, str, float, float]]:
+        """(line it begins in, family, probability, similarity) of each notice in lines that follow one another."""
+        words, at = [], []
+        for i, line in enumerate(lines):
+            words += (w := _WORDS.findall(line.lower()))
+            at += [i] * len(w)
+        if self.telling.isdisjoint(words):
+            return []
+        sure, more = [], []
+        starts = [0, *(k for k in range(1, len(at)) if at[k] != at[k - 1]), len(at)]
+        for begin, end in zip(starts, starts[1:]):
+            for a in range(begin, max(begin + 1, end - WINDOW // 2), WINDOW // 2):
+                part = words[a : min(a + WINDOW, end)]
+                if self.telling.isdisjoint(part):
+                    continue
+                family, p, like = self.window(part)
+                if family != "unknown" and p >= MIN_PROBABILITY and like >= MIN_SIMILARITY:
+                    found = [(z, y - x, x, y) for k, (f, _) in enumerate(self.bags) if f == family for x, y, z in self.spans(part, k)]
+                    _, _, x, y = max(found, default=(like, 0, 0, len(part)))
+                    sure.append((p, like, a + x, a + y, family))
+        # What is not the window's first family, or runs over a line's end, is scored by its own words alone.
+        for a in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2):
+            part = words[a : a + WINDOW]
+            if self.telling.isdisjoint(part):
+                continue
+            for k, (family, _) in enumerate(self.bags):
+                for x, y, like in self.spans(part, k):
+                    got = self.window(part[x:y])
+                    if got[0] == family and got[1] >= MIN_PROBABILITY:
+                        more.append((y - x, like, got[1], a + x, a + y, family))
+        taken: list[tuple[int, int, str, float, float]] = []
+        for p, like, x, y, family in sorted(sure, reverse=True):
+            if all(y <= c or x >= d or family != f for c, d, f, _, _ in taken):
+                taken.append((x, y, family, p, like))
+        for _, like, p, x, y, family in sorted(more, reverse=True):
+            if all(y <= c or x >= d for c, d, _, _, _ in taken):
+                taken.append((x, y, family, p, like))
+        return [(at[x], family, p, like) for x, _, family, p, like in sorted(taken)]
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, str, float, float]]]:
+        """The number of lines with words or signs, and the notices, with the line each begins in."""
+        n, run, hits = 0, [], []
+        for line in [*(text or "").split("\n"), ""]:
+            if line.strip():
+                run.append(line)
+            elif run:
+                hits += [(n + i, *h) for i, *h in self.notices(run)]
+                n, run = n + len(run), []
+        return n, hits
+
 
 _MODELS: list[LicenseModel] = []
 
@@ -149,10 +217,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
         for b in batches:
             n, hits = [], []
             for t in b.column(1).to_pylist():
-                lines = [x for x in (t or "").split("\n") if x.strip()]
-                found = [(i, m.paragraph(x)) for i, x in enumerate(lines)]
-                n.append(len(lines))
-                hits.append([{"paragraph": i, "family": g[0], "probability": round(g[1], 6), "similarity": round(g[2], 6)} for i, g in found if g])
+                lines, found = m.scan(t)
+                n.append(lines)
+                hits.append([{"paragraph": i, "family": f, "probability": round(p, 6), "similarity": round(like, 6)} for i, f, p, like in found])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array([len(h) for h in hits], pa.int64()), pa.array([",".join(sorted({x["family"] for x in h})) for h in hits], pa.string()), pa.array(hits, hit)],
                 names=[id_col, "n_paragraphs", "n_licenses", "families", "hits"],

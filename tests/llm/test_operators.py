@@ -420,6 +420,23 @@ def test_licenses(spark, odd, none):
     assert {r["families"] for r in out.where("n_paragraphs > 0").collect()} == {"mit"} and licenses.scan(none).count() == 0
 
 
+def found_in(text):
+    return [h[1] for h in licenses.model().scan(text)[1]]
+
+
+def test_wrapped_notices(spark):
+    gpl = """/* This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation. */"""
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal\nin the Software without restriction"
+    assert found_in(gpl) == ["gpl-3.0"] and found_in(bsd) == ["bsd"] and found_in(mit) == ["mit"]
+    rng = random.Random(1)
+    text = words(rng, 70) + "\n\n" + words(rng, 30) + "\n" + gpl + "\n" + words(rng, 50)
+    rows = licenses.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert rows[0]["families"] == "gpl-3.0" and [h["paragraph"] for h in rows[0]["hits"]] == [2] and rows[0]["n_paragraphs"] == 6
+
+
 def test_pipeline_against_brute_force(spark, odd):
     import corpus_pipeline as c
 
