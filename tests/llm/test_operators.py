@@ -437,6 +437,18 @@ def test_wrapped_notices(spark):
     assert rows[0]["families"] == "gpl-3.0" and [h["paragraph"] for h in rows[0]["hits"]] == [2] and rows[0]["n_paragraphs"] == 6
 
 
+def test_every_notice_of_a_line(spark):
+    rng = random.Random(2)
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    assert sorted(found_in(f"{mit} {apache}")) == ["apache-2.0", "mit"]
+    assert found_in(f"{mit} {words(rng, 200)} {apache} {words(rng, 100)} {mit}") == ["mit", "apache-2.0", "mit"]
+    assert found_in("Licensed under CC BY-NC 4.0.") == ["cc-by-nc-4.0"] and found_in(apache) == ["apache-2.0"]
+    for family, templates in licenses.TEMPLATES.items():
+        assert all(set(found_in(t)) == {family} for t in templates if licenses.model().paragraph(t))
+    row = licenses.scan(spark.createDataFrame([(1, f"{mit} {apache}")], "doc_id bigint, text string")).collect()[0]
+    assert row["families"] == "apache-2.0,mit" and row["n_licenses"] == 2 and row["n_paragraphs"] == 1
+
+
 def test_pipeline_against_brute_force(spark, odd):
     import corpus_pipeline as c
 
