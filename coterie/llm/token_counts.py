@@ -1,18 +1,22 @@
 """Greedy longest-match word-piece counts by a linear automaton, without building pieces.
 
-A trie over the vocabulary holds pieces that begin a word and, below a separate root, pieces that
-continue one.  Each node has a failure link, the node reached after the longest prefixes of its text
+A trie over the vocabulary holds pieces that open or continue a word and, ending in the end mark, pieces
+that close one.  Each node has a failure link, the node reached after the longest prefixes of its text
 have been split off, and the number of pieces popped on the way, both worked out once for the whole
 trie.  A word is then read once, byte by byte: follow an edge if there is one, else take the failure
 link and add its pops; every step either reads a byte or shortens what is pending, so the work is
 linear in the word, and longest-match counts come out exactly as greedy matching would give them.
 
+The last piece of a word is one that closes it.  So a piece that does not close is taken only where
+bytes follow it, and what is pending at the word's end (no longer than a piece) is split by the same
+rule, worked out once per node: the piece that closes all of it, else the longest one that leaves some.
+
 Pieces are those of the given vocabulary file: an entry with the end-of-word suffix closes a word,
 other entries open or continue one.  Every single byte is a piece, so no word fails.  Words are runs
 of other than ASCII white space, lower-cased (A-Z); a worker remembers the counts of words seen.
 
-Edge cases: a null or blank text has no tokens; a null id is kept; repeated rows stay; an empty table
-gives an empty result; other columns are not read.
+Edge cases: a null or blank text has no tokens; a null id is kept; repeated rows stay; texts of any
+length are read whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -52,7 +56,7 @@ class LongestMatch:
     """The automaton.  ``edges[node]`` maps a symbol to a node; ``fail`` and ``pops`` are lists by node."""
 
     def __init__(self, pieces):
-        pieces = set(pieces) | {(b,) for b in range(256)} | {(b, _END) for b in range(256)} | {(_END,)}
+        pieces = set(pieces) | {(b,) for b in range(256)} | {(b, _END) for b in range(256)}
         self.edges: list[dict[int, int]] = [{}]
         accepts = [False]
         for p in pieces:
@@ -83,21 +87,43 @@ class LongestMatch:
                             self.fail[v], self.pops[v] = self.edges[z][s], n
                     after.append(v)
             level = after
+        self.texts: list[tuple] = [()] * len(self.edges)
+        self.accepts, self.last = accepts, {}
+        for u, edges in enumerate(self.edges):  # nodes are numbered after their parents
+            for s, v in edges.items():
+                self.texts[v] = (*self.texts[u], s)
         self.seen: dict[bytes, int] = {}
 
-    def count(self, word: bytes) -> int:
-        """Number of pieces of one word."""
+    def closing(self, node: int) -> int:
+        """Number of pieces of the text of a node where a word ends."""
+        if node not in self.last:
+            if _END in self.edges[node]:
+                self.last[node] = 1
+            else:
+                text, u, k = self.texts[node], 0, 0
+                for i, s in enumerate(text[:-1]):
+                    u = self.edges[u][s]
+                    if self.accepts[u]:
+                        k = i + 1
+                rest, pops = self.read(text[k:])
+                self.last[node] = 1 + pops + self.closing(rest)
+        return self.last[node]
+
+    def read(self, symbols) -> tuple[int, int]:
+        """(node of what is pending, pieces popped) after these bytes."""
         edges, fail, pops = self.edges, self.fail, self.pops
         node = total = 0
-        for s in (*word, _END):
+        for s in symbols:
             while (nxt := edges[node].get(s)) is None:
                 total += pops[node]
                 node = fail[node]
             node = nxt
-        while node:
-            total += pops[node]
-            node = fail[node]
-        return total
+        return node, total
+
+    def count(self, word: bytes) -> int:
+        """Number of pieces of one word."""
+        node, total = self.read(word)
+        return total + self.closing(node) if node else 0
 
     def text(self, data: bytes) -> tuple[int, int]:
         """(words, tokens) of a text."""
