@@ -12,7 +12,8 @@ taken stay within about one document of the target.  Bucket counts are summed to
 first place.
 
 Edge cases: a null text has size 0; the null source comes last; sources without words get target 0
-and give no copies; equal rows may swap copies among themselves; an empty table gives an empty result.
+and give no copies; equal rows may swap copies among themselves; texts of any length are counted whole;
+an empty table gives an empty result; further columns are not read (``mix`` carries them renamed).
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, percent: int = TOTAL_PERCE
 
 def _offset() -> Column:
     """The one random number of a source, in [0, 1)."""
-    return hash32(F.concat(F.lit(SEED + ":"), F.coalesce("__source", F.lit("\x00null")))) / F.lit(float(1 << 32))
+    return hash32(F.coalesce(F.concat(F.lit(SEED + ":"), "__source"), F.lit(SEED + "?"))) / F.lit(float(1 << 32))
 
 
 def copies_plan(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -138,13 +139,13 @@ e AS (SELECT d.*, t.source_size, t.target, (d.h // 7) % t.b AS bucket FROM d JOI
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bucket,
     CASE WHEN bucket % 2 = 0 THEN size ELSE -size END, h, doc_id NULLS FIRST) AS k,
     CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS x,
-    ('0x' || substr(md5('{SEED}:' || source), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM e),
+    ('0x' || substr(md5(coalesce('{SEED}:' || source, '{SEED}?')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM e),
 c AS (SELECT *, least(floor(x * k + u) - floor(x * (k - 1) + u), ceil(x))::INT AS copies FROM r)
-SELECT doc_id, size, source_size, round(target, 6) AS target, (copies * size)::BIGINT AS taken, copies FROM c
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM c
 """
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from coterie.llm.common import table
 
-    return mix_counts(table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 6))
+    return mix_counts(table(spark, sf_dir, "documents"))
