@@ -78,6 +78,12 @@ def test_quality_rules(odd, none):
     assert kept.columns == odd.columns and 7 in {r["doc_id"] for r in kept.collect()} and 10 not in {r["doc_id"] for r in kept.collect()}
 
 
+def test_rules_keep_columns_of_any_name(odd):
+    clash = odd.selectExpr("*", "'mine' as n_words_", "1 as __rep", "2 as __words", "3 as failed", "4 as w", "5 as c0")
+    kept = quality_rules.keep_good(clash)
+    assert kept.columns == clash.columns and {tuple(r[-6:]) for r in kept.collect()} == {("mine", 1, 2, 3, 4, 5)}
+
+
 def test_repeats_by_lookup_and_by_sort_agree(spark):
     rng = random.Random(2)
     many = " ".join(words(rng, 60) for _ in range(1))
@@ -94,6 +100,14 @@ def test_mixing_bounds_and_reruns(odd, none):
     assert out.columns == odd.columns and out.count() == sum(r["copies"] for r in mixing.mix_counts(odd).collect())
 
 
+def test_mixing_twin_on_a_null_source(odd):
+    con = duckdb.connect()
+    documents = odd.select("doc_id", "text", "source").toArrow()
+    con.register("documents", documents)
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, mixing.mix_counts(odd).collect()), key=key) == sorted(con.sql(mixing.SQL).fetchall(), key=key)
+
+
 def test_mixing_targets(spark):
     rng = random.Random(1)
     d = spark.createDataFrame([(i, words(rng, rng.randint(5, 60)), "s%d" % (i % 5 if i % 2 else 0)) for i in range(3000)], "doc_id bigint, text string, source string")
@@ -254,6 +268,18 @@ def test_repeated_strings(spark, odd, none, hot, monkeypatch):
     assert suffix_dedup.repeat_digest(none).count() == 0
 
 
+def test_previous_factors_by_hand():
+    rng = random.Random(6)
+    for _ in range(40):
+        n = rng.randint(1, 60)
+        text = bytes(rng.choices(b"ab", k=n))
+        order = sorted(range(n), key=lambda i: text[i:])
+        common = lambda i, j: next((k for k in range(n) if max(i, j) + k >= n or text[i + k] != text[j + k]), n)
+        shared = np.array([0, *(common(a, b) for a, b in zip(order, order[1:]))])
+        got = suffix_dedup.longest_previous_factors(np.array(order), shared)
+        assert [int(got[order.index(i)]) for i in range(n)] == [max([common(i, j) for j in range(i)], default=0) for i in range(n)]
+
+
 def test_grams_hash_by_content_in_pieces(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 700)
     rng = random.Random(4)
@@ -322,19 +348,28 @@ def test_exact_patterns_fill_sequences():
     assert (used + left == c).all() and (left >= 0).all() and (left * np.arange(2048)).sum() < 0.05 * (c * np.arange(2048)).sum()
 
 
+def greedy(word, pieces):
+    """Longest matches; a piece that does not close is taken only where bytes follow it."""
+    n, i = 0, 0
+    while i < len(word):
+        i = next(j for j in range(len(word), i, -1) if (*word[i:j], *([256] if j == len(word) else [])) in pieces)
+        n += 1
+    return n
+
+
 def test_token_counts(spark, odd, none):
     rng = random.Random(1)
     for _ in range(60):
         pieces = {tuple(rng.choices([97, 98, 99], k=rng.randint(1, 5))) for _ in range(8)} | {(97, 98, 256)}
         a = token_counts.LongestMatch(pieces)
-        every = pieces | {(b,) for b in range(257)} | {(b, 256) for b in range(256)}
+        every = pieces | {(b,) for b in range(256)} | {(b, 256) for b in range(256)}
         for _ in range(20):
             w = bytes(rng.choices(b"abc", k=rng.randint(0, 12)))
-            s, n, i = (*w, 256), 0, 0
-            while i < len(s):
-                i = next(j for j in range(len(s), i, -1) if s[i:j] in every)
-                n += 1
-            assert a.count(w) == n
+            assert a.count(w) == greedy(w, every)
+    every = token_counts.load_vocabulary()
+    a = token_counts.automaton()
+    for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect():
+        assert a.text(r["text"].encode())[1] == sum(greedy(w, every) for w in r["text"].encode().lower().split())
     got = token_counts.token_counts(odd).collect()
     assert len(got) == odd.count() and all((r["n_words"] == 0) == (r["n_tokens"] == 0) for r in got) and token_counts.token_counts(none).count() == 0
 
