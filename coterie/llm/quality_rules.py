@@ -6,7 +6,8 @@ corpus by an empirical beta prior (moments over hosts), and a host whose shrunk
 limit takes all its documents with it.
 
 Edge cases: a null or blank text has no words and fails; a null host is a host of its own; repeated
-rows are judged row by row; an empty table gives an empty result; further columns are never read.
+rows are judged row by row; texts of any length are read whole; an empty table gives an empty result;
+further columns are never read.
 """
 
 from __future__ import annotations
@@ -117,11 +118,11 @@ def measure(docs: DataFrame, keep: list[str], text: str = "text", host: str = "s
         dup_lines(t).alias("n_dup_lines"),
         repeat_words(F.col("__w")).alias("n_repeat_words"),
     )
-    return out.withColumn("base_failed", _failed())
+    return out.withColumn("base_failed", _failed(F.col("n_words"), F.col("n_repeat_words")))
 
 
-def _failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+def _failed(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
 
 
 def host_verdicts(measured: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
@@ -154,17 +155,26 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str
     )
 
 
+#: Rejected hosts that are sent to all tasks; beyond, documents and hosts are joined by shuffle.
+MOST_SENT = 100_000
+
+
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The documents that pass, with the columns they came with."""
+    """The documents that pass, with the columns they came with (under numbers inside, so no name can clash).
+
+    Measuring twice, once for the hosts' counts and once for the documents, is cheaper than storing
+    texts between.  Rejected hosts are counted before they are broadcast.
+    """
     columns = docs.columns
-    w = docs.withColumn("__words", words_of(F.col(text)))
-    w = w.withColumn("n_words_", F.size("__words")).withColumn("__rep", repeat_words(F.col("__words")))
-    failed = (F.col("n_words_") < MIN_WORDS) | (100 * F.col("__rep") > MAX_REPEAT_PERCENT * F.col("n_words_"))
-    flagged = w.select(*[F.col(c) for c in columns], failed.alias("__failed"))
-    counts = materialize(flagged.select(F.col(host).alias("__host"), F.col("__failed").alias("base_failed")))
-    bad = host_verdicts(counts).where(~F.col("host_kept")).select("__host")
-    good = flagged.where(~F.col("__failed"))
-    return good.join(bad, good[host].eqNullSafe(bad["__host"]), "left_anti").select(*columns)
+    inner = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    h = f"c{columns.index(host)}"
+    w = inner.withColumn("w", words_of(F.col(f"c{columns.index(text)}")))
+    flagged = w.select(*inner.columns, _failed(F.size("w"), repeat_words(F.col("w"))).alias("failed"))
+    counts = materialize(flagged.select(F.col(h).alias("__host"), F.col("failed").alias("base_failed")))
+    bad = materialize(host_verdicts(counts).where(~F.col("host_kept")).select("__host"))
+    bad = F.broadcast(bad) if bad.limit(MOST_SENT + 1).count() <= MOST_SENT else bad.hint("merge")
+    good = flagged.where(~F.col("failed")).drop("failed")
+    return good.join(bad, good[h].eqNullSafe(bad["__host"]), "left_anti").toDF(*columns)
 
 
 QUERY = "op10_quality_rules"
