@@ -13,31 +13,33 @@ How a global suffix order is had without one machine that holds it:
 3. The strings of the remaining segments (window starts plus the bytes they reach) are fetched from
    the stored texts.  Equal strings are one row.  A minimizer with a single string that cannot repeat
    itself is decided by its count.
-4. The others are sorted in suffix order, truncated at ``LENGTH`` and with ties in order of position.
-   There the previous smaller position of a suffix with a common prefix of ``LENGTH`` is its
-   predecessor in the run of equal prefixes, and no next smaller one shares so much; so the longest
-   previous factor reaches ``LENGTH`` for all of a run but its first, and the longest factor anywhere
-   reaches it for all members of a run of two or more.
+4. The others are put in suffix order, truncated at ``LENGTH``, with the common prefixes of
+   neighbours.  For every window start, the nearest places before and after it in that order that
+   hold smaller positions (previous and next smaller value) bound its longest previous factor: the
+   larger of the two least common prefixes on the way.  A window repeats an earlier one when that
+   factor reaches ``LENGTH``; a later one when the array for larger positions does.
 5. A minimizer whose different strings exceed ``HOT_BYTES`` (a passage a little shorter than the
-   window in very many contexts) is split further: its windows are dealt by their own MD5.  Exact too.
+   window in very many contexts) is split further: its windows are dealt by their own MD5, and a
+   window's first place is the least of its hash.  Exact too, and no group is held by one task.
 
 Joins are sort-merge by hint: texts are far larger in memory than on disk, and their table is bucketed
 by the join key, so that side is not shuffled.
 
 Edge cases: null texts are empty; texts shorter than ``LENGTH`` bytes lose nothing; equal rows are
-copies of each other; a null id counts as the last; an empty table gives an empty result.
+copies of each other; a null id counts as the last; very long texts are hashed in pieces of ``PIECE``
+bytes; an empty table gives an empty result; other columns are not read (``remove_repeats`` carries
+them under numbers, so names cannot clash).
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coterie.functions.storage import free_shuffles, materialize, release, scratch_path
+from coterie.functions.storage import bucketed, free_shuffles, materialize, release
 from coterie.llm.common import small_batches
 
 LENGTH = 200
@@ -138,6 +140,42 @@ def _segments(pieces, hasher: GramHash, length: int):
     return text, start, count, seg, np.isin(seg, twice)
 
 
+def common_prefixes(ranked: np.ndarray) -> np.ndarray:
+    """For rows in order: bytes that each shares with the row before it (none for the first)."""
+    out = np.zeros(len(ranked), np.int64)
+    for i in range(1, len(ranked), 8192):
+        differ = ranked[i : i + 8192] != ranked[i - 1 : i - 1 + len(ranked[i : i + 8192])]
+        out[i : i + 8192] = np.where(differ.any(axis=1), differ.argmax(axis=1), ranked.shape[1])
+    return out
+
+
+def _to_smaller(position: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Common prefix of each row with the nearest row before it that has a smaller position.
+
+    All rows look at once: a row whose candidate has a larger position goes on to that one's candidate,
+    and everything it passes is larger than it, so the first smaller one is not missed.
+    """
+    n = len(position)
+    at, low = np.arange(n) - 1, shared.copy()
+    open_ = np.flatnonzero(at >= 0)
+    while len(open_ := open_[position[at[open_]] > position[open_]]):
+        via = at[open_]
+        low[open_], at[open_] = np.minimum(low[open_], low[via]), at[via]
+        open_ = open_[at[open_] >= 0]
+    low[at < 0] = 0
+    return low
+
+
+def longest_previous_factors(position: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For suffixes in order: the longest prefix each shares with one of a smaller position.
+
+    ``shared[i]`` is the common prefix of suffixes i - 1 and i.  Previous and next smaller positions
+    are enough: any other smaller one lies behind one of them.
+    """
+    back = np.append(shared[1:], 0)[::-1]
+    return np.maximum(_to_smaller(position, shared), _to_smaller(position[::-1], np.concatenate([[0], back[1:]]))[::-1])
+
+
 def repeated_windows(strings: list[bytes], first_stays: bool, length: int = LENGTH) -> list[np.ndarray]:
     """For strings in order of position, the window starts that repeat (``first_stays``: an earlier one).
 
@@ -148,12 +186,11 @@ def repeated_windows(strings: list[bytes], first_stays: bool, length: int = LENG
         [np.lib.stride_tricks.sliding_window_view(np.frombuffer(s, np.uint8), length) for s in strings]
     )
     order = np.argsort(np.ascontiguousarray(rows).view(f"S{length}").ravel(), kind="stable")
-    ranked = rows[order]
-    same = (ranked[1:] == ranked[:-1]).all(axis=1)
+    shared = common_prefixes(rows[order])
     repeats = np.zeros(len(order), bool)
-    repeats[order[1:][same]] = True
+    repeats[order] = longest_previous_factors(order, shared) >= length
     if not first_stays:
-        repeats[order[:-1][same]] = True
+        repeats[order] |= longest_previous_factors(-order, shared) >= length
     return [np.flatnonzero(x) for x in np.split(repeats, np.cumsum(counts)[:-1])]
 
 
@@ -225,12 +262,9 @@ class RepeatedStrings:
             F.struct(t.alias("text"), row.alias("row")).alias("v"),
         )
         one = keyed.groupBy("k").agg(F.min_by("v", "o").alias("v"), F.min("o").alias("o"), F.count(F.lit(1)).alias("n"))
-        name = "coterie_texts_" + uuid.uuid4().hex
-        one.select("k", "v.text", "n", "o.late", "o.id", "v.row").write.bucketBy(buckets, "k").option(
-            "path", scratch_path(self.spark)
-        ).option("compression", "zstd").saveAsTable(name)
+        texts = bucketed(one.select("k", "v.text", "n", "o.late", "o.id", "v.row"), buckets, "k")
         free_shuffles(self.spark)
-        return self.spark.table(name)
+        return texts
 
     def _segments(self) -> DataFrame:
         import pyarrow as pa
@@ -361,7 +395,8 @@ class RepeatedStrings:
             F.struct("first.late", "first.id", "first.k", (F.col("first.start") + F.col("off")).alias("start")).alias("p"),
             F.col("off").cast("bigint").alias("off"),
         )
-        heads = w.groupBy("h").agg(F.count(F.lit(1)).alias("__n"), F.min("p").alias("__p")).where("__n > 1")
+        # Written, so that the join reads both sides from shuffles, of which Spark splits a frequent hash's.
+        heads = materialize(w.groupBy("h").agg(F.count(F.lit(1)).alias("__n"), F.min("p").alias("__p")).where("__n > 1"))
         again = w.join(heads.hint("merge"), "h")
         if self.first:
             again = again.where((F.col("p.k") != F.col("__p.k")) | (F.col("p.start") != F.col("__p.start")))
