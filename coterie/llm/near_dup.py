@@ -12,12 +12,12 @@ bits of each other, and at most 65 can share one, so linking them to their small
 components in linear work.  (That way needs radius 2 or less; a larger radius expands all keys.)
 
 Edge cases: a null or blank text has fingerprint zero and is linked like any other; a null id is kept,
-and never is the smallest of its component unless all are null; repeated rows stay repeated.
+and never is the smallest of its component unless all are null; repeated rows stay repeated; texts of any
+length are read whole, hashes in blocks; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 from itertools import combinations
 
@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coterie.functions.storage import free_shuffles, materialize, release, scratch_path
+from coterie.functions.storage import bucketed, free_shuffles, materialize, release
 from coterie.llm.common import small_batches
 from coterie.operators.components import connected_components
 
@@ -132,7 +132,10 @@ SIMILARITY = 0.8
 WIDE_SHINGLE = 5
 #: Texts of the sample that tells common shingles; a shingle in COMMON of them is common, COMMONEST at most are kept.
 SAMPLE, COMMON, COMMONEST = 8192, 4, 100_000
-#: Bits of the parity signature that rules pairs out before their shingle sets are fetched.
+#: Texts of a key that are compared all with all; larger keys begin with their hub, so copies of one text make a star.
+EXPANDED = 4
+#: Least bits of the parity signature that rules pairs out before their shingle sets are fetched; twice the set's
+#: size or more, so that signatures of long texts do not fill up.
 PARITY = 1024
 
 
@@ -144,6 +147,28 @@ def _shingle_set(text: str | None, shingle: int) -> list[int]:
     return np.array(sorted({xxh64_intdigest(g, 42) for g in grams}), np.uint64).view(np.int64).tolist()
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Bit k: whether an odd number of elements fall on k; a power of two of bits, at least twice the elements."""
+    bits = max(PARITY, 1 << int(2 * len(s)).bit_length())
+    return np.packbits((np.bincount(s & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def parity_differences(p: list[bytes], q: list[bytes]) -> np.ndarray:
+    """Bits that differ, pair by pair; the longer signature is folded to the length of the other."""
+    out = np.zeros(len(p), np.int64)
+    sizes = np.array([(len(a), len(b)) for a, b in zip(p, q)], np.int64).reshape(-1, 2)
+    for one, two in {(len(a), len(b)) for a, b in zip(p, q)}:
+        at = np.flatnonzero((sizes[:, 0] == one) & (sizes[:, 1] == two))
+        folded = []
+        for side, size in ((p, one), (q, two)):
+            x = np.frombuffer(b"".join(side[i] for i in at), np.uint8).reshape(len(at), size)
+            while x.shape[1] > min(one, two):
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+            folded.append(x)
+        out[at] = np.bitwise_count(folded[0] ^ folded[1]).sum(1, dtype=np.int64)
+    return out
+
+
 def prefix_length(size: int, similarity: float) -> int:
     """Two sets of that similarity or more share one of so many first elements, in any order common to both."""
     return size - int(np.ceil(similarity * size - 1e-6)) + 1 if size else 0
@@ -176,8 +201,7 @@ def _similar(pairs: DataFrame, filed: DataFrame, texts: DataFrame, similarity: f
         for b in batches:
             if not b.num_rows:
                 continue
-            p, q = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("p", "q"))
-            differ = np.bitwise_count(p ^ q).sum(1, dtype=np.int64)
+            differ = parity_differences(b.column("p").to_pylist(), b.column("q").to_pylist())
             y = b.column("y").to_numpy()
             # Of y elements in both sets together, y (1 - similarity) / (1 + similarity) at most are in one only.
             yield b.filter(pa.array(differ <= y * ((1 - similarity) / (1 + similarity)) + 1e-6)).select(["u", "v"])
@@ -192,13 +216,15 @@ def _similar(pairs: DataFrame, filed: DataFrame, texts: DataFrame, similarity: f
             s = [_shingle_set(x, shingle) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.list_(pa.int64()))], names=["uid", "s"])
 
-    grams = materialize(texts.join(needed.hint("merge"), "__uid").mapInArrow(sets, "uid bigint, s array<bigint>"))
-    joined = close.hint("merge").join(grams.select(F.col("uid").alias("u"), F.col("s").alias("su")), "u").hint("merge").join(
-        grams.select(F.col("uid").alias("v"), F.col("s").alias("sv")).hint("merge"), "v"
-    )
+    # In buckets of the text's number: of each pair one set moves, the other is met where it lies.
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grams = bucketed(texts.join(needed.hint("merge"), "__uid").mapInArrow(sets, "uid bigint, s array<bigint>").repartition(n, "uid"), n, "uid")
+    there = close.hint("merge").join(grams.select(F.col("uid").alias("v"), F.col("s").alias("sv")).hint("merge"), "v")
+    joined = there.hint("merge").join(grams.select(F.col("uid").alias("u"), F.col("s").alias("su")).hint("merge"), "u")
     both = F.size(F.array_intersect("su", "sv"))
     edges = joined.select("u", "v", both.alias("x"), (F.size("su") + F.size("sv") - both).alias("y")).where(F.col("x") >= F.lit(similarity) * F.col("y"))
     out = materialize(edges.select("u", "v"))
+    release(close)
     release(grams)
     free_shuffles(out.sparkSession)
     return out
@@ -236,13 +262,16 @@ def _edges(texts: DataFrame, similarity: float, shingle: int, bucket: int) -> Da
             for x in b.column(1).to_pylist():
                 s = np.array(_shingle_set(x, shingle), np.int64)
                 sizes.append(len(s))
-                sigs.append(np.packbits((np.bincount(s & (PARITY - 1), minlength=PARITY) & 1).astype(np.uint8)).tobytes())
+                sigs.append(parity(s))
                 toks.append(_ordered(np.sort(s), *held.value)[: prefix_length(len(s), similarity)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(toks, pa.list_(pa.int64()))], names=["uid", "size", "sig", "toks"])
 
     filed = materialize(texts.mapInArrow(first, "uid bigint, size int, sig binary, toks array<bigint>"))
     keys = filed.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialize(filed.select("uid", "size", F.posexplode("toks").alias("pos", "tok")).join(keys, "tok"))
+    narrow = materialize(filed.select("uid", "size", "sig"))  # without the first shingles, most of the bytes
+    release(filed)
+    filed = narrow
     free_shuffles(spark)
     few = shared.where(F.col("n") <= bucket)
     cold = few.alias("a").join(few.alias("b"), "tok").where((F.col("a.uid") < F.col("b.uid")) & _reaches("a", "b", similarity)).select(F.col("a.uid").alias("u"), F.col("b.uid").alias("v"))
@@ -259,12 +288,13 @@ def _edges(texts: DataFrame, similarity: float, shingle: int, bucket: int) -> Da
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
-                     shingle: int = WIDE_SHINGLE, bucket: int = BUCKET) -> DataFrame:
+                     shingle: int = WIDE_SHINGLE, bucket: int = EXPANDED) -> DataFrame:
     """The documents without near copies, with the columns they came with.
 
     Texts are near copies when the Jaccard similarity of their word shingles is ``similarity`` or more;
     a prefix filter finds all candidates, the shingle sets confirm them.  Of each connected group the
-    document with the smallest id stays.  Texts without words are equal to each other.
+    document with the smallest id stays, null ids last; of rows with that id one stays.  Texts without
+    words are equal to each other.  Columns travel under numbers inside, so no name can clash.
     """
     import pyarrow as pa
 
@@ -286,9 +316,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     spark = docs.sparkSession
     numbered = inner.mapInArrow(run, f"{kinds}, __k binary").withColumn("__uid", F.monotonically_increasing_id())
     # Stored in buckets of the row number: the joins on it below then leave the texts where they are.
-    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), "coterie_near_" + uuid.uuid4().hex
-    numbered.repartition(n, "__uid").write.bucketBy(n, "__uid").option("path", scratch_path(spark)).option("compression", "zstd").saveAsTable(name)
-    base = spark.table(name)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = bucketed(numbered.repartition(n, "__uid"), n, "__uid")
     free_shuffles(spark)
     first = F.min(F.struct(F.col(i).isNull().alias("late"), F.col(i).alias("id"), F.col("__uid").alias("uid")))
     keys = materialize(base.groupBy("__k").agg(first.alias("w")))

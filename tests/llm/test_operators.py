@@ -185,6 +185,21 @@ def test_keep_one_of_each(odd, none):
     assert near_dup.keep_one_of_each(none).count() == 0
 
 
+def test_parity_never_rules_out_a_similar_pair():
+    rng = np.random.default_rng(4)
+    p, q, y, like = [], [], [], []
+    for _ in range(300):
+        n = int(rng.integers(1, 3000))
+        a = rng.integers(-(1 << 62), 1 << 62, n)
+        b = np.concatenate([a[: max(1, int(n * rng.random() ** 0.2))], rng.integers(-(1 << 62), 1 << 62, int(n * 0.3 * rng.random()))])
+        p, q = [*p, near_dup.parity(a)], [*q, near_dup.parity(b)]
+        both = len(set(a) & set(b))
+        y, like = [*y, len(a) + len(b)], [*like, both / (len(a) + len(b) - both)]
+    differ, y, like = near_dup.parity_differences(p, q), np.array(y), np.array(like)
+    passes = differ <= y * 0.2 / 1.8 + 1e-6
+    assert passes[like >= 0.8].all() and (like >= 0.8).sum() > 50 and not passes[like < 0.6].any()
+
+
 def brute_kept(rows, similarity=0.8):
     """Ids that stay when of each connected group of similar texts the smallest does."""
     sets = [near_dup._shingle_set(t, 5) for _, t in rows]
