@@ -1,16 +1,22 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into text nodes, each with the path of block elements from the root.  Elements that say
-themselves that they are no article (navigation, adverts, forms, comments, by tag, role, class or id)
-are set aside.  Per path, text length and punctuation are summed over its nodes; the ratios to the
-number of nodes are fused with the share of text outside links, spread to the nodes, smoothed over
-neighbours in page order, and paths whose mean is above half the standard deviation are content.  The
-smallest element that holds nearly all content is the article; all its blocks are given out, so that
-short paragraphs and headings between long ones stay, but blocks of links on paths that are no
-content go.
-
-Edge cases: a null or blank page gives an empty text; broken markup is read as it comes (a stray
-``<`` is text, unclosed elements end with their parents); a null url is kept; repeated rows stay.
+A page is cut into text nodes, each with its path of block elements from the root; a step of a path is
+the tag with its classes and id.  Paths are numbered with their parent's number, so a deep page costs a
+few numbers per element.  What is never text of a page (scripts, styles, forms, hidden elements) is
+left out.
+
+For every path the text length, the punctuation and the text in links are summed over its nodes.  The
+ratios to the number of nodes are fused: length x (1 + punctuation) x share outside links, squared; paths
+below an element that names itself no article (by tag, role, class or id) count ``NAMED`` of that.  The
+scores are spread to the nodes, smoothed over neighbours in page order, and averaged by path.  A path is
+content when its score is ``THRESHOLD`` of the page's level, the mean over characters (weighted alike).  Outside of the
+article, the path that holds nearly all content, its own ratio has to reach that too; inside, the ratio
+of the whole article counts half, so that short lines and headings stay where links and named elements go.
+
+Edge cases: a null or blank page gives an empty text, and so does one without content; broken markup is
+read as it comes (a stray ``<`` is text, unclosed elements end with their parents); a null url is kept;
+repeated rows stay; pages of any length and depth are read whole; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,11 +37,13 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-DROPPED = frozenset(
-    "head nav aside footer form button select option datalist noscript template iframe object embed svg canvas audio video "
-    "map dialog menu script style textarea title noembed noframes xmp math input label fieldset".split()
+NO_TEXT = frozenset(
+    "head form button select option datalist noscript template iframe object embed svg canvas audio video map script style "
+    "textarea title noembed noframes xmp math input label fieldset".split()
 )
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 dt pre legend caption".split())
+#: Elements that are no article by their tag; a header is one inside an article.
+AROUND = frozenset("nav aside footer menu dialog header".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 #: Words of a class or id that mark what is no article.
 MARKS = frozenset(
@@ -58,58 +66,88 @@ _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
 
 
-class _Element:
-    """``off``: the elements set aside that it stands in; ``mute``: it stands in an inline one."""
+#: What a path below an element named no article counts, and the share of the page's level that is content.
+NAMED, THRESHOLD = 0.05, 0.1
+#: Share of the content that lies in the article, and of the page in a named element that is then its frame.
+NEARLY_ALL, FRAME = 0.9, 0.6
 
-    __slots__ = ("tag", "parent", "block", "path", "scope", "off", "mute", "size")
 
-    def __init__(self, tag, parent, block, path, scope):
-        self.tag, self.parent, self.block, self.path, self.scope, self.size = tag, parent, block, path, scope, 0
-        self.off, self.mute = (parent.off, parent.mute) if parent else ((), False)
+class _Paths:
+    """The paths of a page: by number the parent, what names the last step no article, and its elements.
 
+    ``single``: one element that may hold others, as an article does (not a paragraph or a heading).
+    """
 
-def _marked(tag: str, attributes: str, scope: bool) -> bool:
-    """Whether an element is no article by its own account; ``scope``: it stands inside article or main."""
-    if tag in DROPPED or tag == "header" and not scope:
-        return True
-    if not attributes or tag in ("html", "body", "main", "article"):
-        return False
-    for m in _ATTR.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-        if name == "role" and value.lower() in ROLES:
-            return True
-        if name in ("class", "id"):
-            words = {w.lower() for w in _WORD.findall(value)}
-            if words & MARKS or not scope and words & TOP_MARKS:
-                return True
-    return False
+    def __init__(self):
+        self.parent, self.named, self.by_name, self.single, self.numbers = [-1], [False], [False], [True], {}
+
+    def step(self, parent: int, label: tuple, named: bool, by_name: bool) -> int:
+        n = self.numbers.setdefault((parent, label), len(self.parent))
+        if n == len(self.parent):
+            self.parent.append(parent)
+            self.named.append(named)
+            self.by_name.append(by_name)
+            self.single.append(label[0] not in LINES)
+        else:
+            self.single[n] = False
+        return n
+
+    def subtree(self, own: np.ndarray) -> np.ndarray:
+        """Sums over each path and all below; parents have smaller numbers."""
+        out = own.astype(float)
+        for k in range(len(out) - 1, 0, -1):
+            out[self.parent[k]] += out[k]
+        return out
+
+
+class _Open:
+    """An open element: tag, path, whether it is a block, in a link, in article or main, and without text."""
+
+    __slots__ = ("tag", "path", "block", "link", "scope", "mute")
+
+    def __init__(self, tag, path, block, link, scope, mute):
+        self.tag, self.path, self.block, self.link, self.scope, self.mute = tag, path, block, link, scope, mute
+
+
+def _look(tag: str, attributes: str, scope: bool) -> tuple[bool, bool, tuple]:
+    """(hidden, named no article by role, class or id, its classes and id); ``scope``: inside article or main."""
+    hidden = named = False
+    names = []
+    if attributes:
+        for m in _ATTR.finditer(attributes):
+            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
+                hidden = True
+            elif name == "role":
+                named |= value.lower() in ROLES
+            elif name in ("class", "id"):
+                words = {w.lower() for w in _WORD.findall(value)}
+                names.append(value)
+                named |= bool(words & MARKS or not scope and words & TOP_MARKS)
+    page = tag in ("html", "body", "main", "article")
+    return hidden and not page, named and not page, tuple(names)
 
 
 def _text_nodes(page: str):
-    """Text nodes in page order: (element of the block, text, characters in links, block number)."""
-    root = _Element("", None, True, "", False)
-    stack, nodes, block = [root], [], 0
+    """The paths of a page and its text nodes in order: (path, text, characters in links)."""
+    paths = _Paths()
+    stack, nodes = [_Open("", 0, True, False, False, False)], []
     parts: list[str] = []
     linked = 0
 
     def flush():
-        nonlocal linked, block
+        nonlocal linked
         if parts:
-            text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
-            if text:
-                own = next(e for e in reversed(stack) if e.block)
-                nodes.append((own, text, min(linked, len(text)), block))
+            if text := _SPACE.sub(" ", html.unescape("".join(parts))).strip():
+                nodes.append((stack[-1].path, text, min(linked, len(text))))
             parts.clear()
         linked = 0
-        block += 1
 
     def say(text):
         nonlocal linked
         if not stack[-1].mute:
             parts.append(text)
-            if any(e.tag == "a" for e in stack[-6:]):
+            if stack[-1].link:
                 linked += len(text.strip())
 
     at, n = 0, len(page)
@@ -159,80 +197,65 @@ def _text_nodes(page: str):
                         k -= 1
                     if k > 0 and stack[k].tag == old:
                         del stack[k:]
-        up = stack[-1]
-        e = _Element(tag, up, is_block, f"{up.path}/{tag}" if is_block else up.path, up.scope or tag in ("article", "main"))
-        if _marked(tag, rest, up.scope):
-            if is_block:
-                e.off = (*e.off, e)
-            else:
-                e.mute = True
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        stack.append(e)
+        up = stack[-1]
+        hidden, by_name, names = _look(tag, rest, up.scope)
+        by_tag = tag in AROUND and not (tag == "header" and up.scope)
+        path = paths.step(up.path, (tag, *names), by_tag or by_name, by_name and not by_tag) if is_block else up.path
+        mute = up.mute or hidden or tag in NO_TEXT or not is_block and (by_name or by_tag)
+        stack.append(_Open(tag, path, is_block, up.link or tag == "a", up.scope or tag in ("article", "main"), mute))
     flush()
-    return nodes
+    return paths, nodes
+
+
+def path_scores(paths: _Paths, nodes: list) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """By path: the smoothed fused score, the page's level, the fused ratio by itself, and what paths count."""
+    n = len(paths.parent)
+    which = np.array([p for p, _, _ in nodes])
+    size = np.array([len(t) for _, t, _ in nodes], float)
+    links = np.array([l for _, _, l in nodes], float)
+    marks = np.array([len(_PUNCTUATION.findall(t)) for _, t, _ in nodes], float)
+    total = lambda x: np.bincount(which, x, n)
+    count, chars = np.maximum(np.bincount(which, minlength=n), 1), total(size)
+    free = 1 - total(links) / np.maximum(chars, 1)
+    plain = chars / count * (1 + total(marks) / count) * free**2
+    held = paths.subtree(total(size - links))
+    named = np.array(paths.named) & ~(np.array(paths.by_name) & (held > FRAME * held[0]))
+    for k in range(1, n):
+        named[k] |= named[paths.parent[k]]
+    worth = np.where(named, NAMED, 1.0)
+    ratio = plain * worth
+    padded = np.pad(ratio[which], 1)
+    smooth = 0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:]
+    score = total(smooth) / count * worth * free
+    weight = size * worth[which]
+    level = float((plain[which] * weight).sum() / weight.sum())
+    return score, level, ratio, worth * free
 
 
 def main_text(page: str | None) -> str:
     """The article of one page, its blocks joined by line feeds."""
-    nodes = _text_nodes(page or "")
+    paths, nodes = _text_nodes(page or "")
     if not nodes:
         return ""
-    for own, text, linked, _ in nodes:
-        for o in own.off:
-            o.size += len(text) - linked
-    total = sum(len(t) - l for _, t, l, _ in nodes)
-    # An element set aside by class or id alone that holds most of the page is a frame, not a notice.
-    frame = lambda o: o.tag not in DROPPED and o.tag != "header" and o.size > 0.6 * total
-    kept = [x for x in nodes if all(map(frame, x[0].off))]
-    if not kept:
-        return ""
-    by: dict[str, list[float]] = {}
-    for own, text, linked, _ in kept:
-        s = by.setdefault(own.path, [0, 0, 0, 0])
-        s[0] += len(text)
-        s[1] += len(_PUNCTUATION.findall(text))
-        s[2] += 1
-        s[3] += linked
-    score = {p: (c / k) * (1 + u / k) * (1 - l / c) ** 2 for p, (c, u, k, l) in by.items()}
-    raw = np.array([score[x[0].path] for x in kept])
-    padded = np.pad(raw, 1, mode="edge")
-    smooth = 0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:]
-    paths = [x[0].path for x in kept]
-    mean: dict[str, list[float]] = {}
-    for p, v in zip(paths, smooth):
-        mean.setdefault(p, []).append(v)
-    limit = 0.5 * float(smooth.std())
-    content = {p for p, v in mean.items() if sum(v) / len(v) >= limit and score[p] > 0}
-    chosen = [(x[0], len(x[1])) for x in kept if x[0].path in content] or [(x[0], len(x[1])) for x in kept]
-    weight: dict[int, int] = {}
-    seen: dict[int, tuple[_Element, int]] = {}
-    for e, size in chosen:
-        depth, chain = 0, []
-        while e is not None:
-            if e.block:
-                chain.append(e)
-            e = e.parent
-        for depth, e in enumerate(reversed(chain)):
-            weight[id(e)] = weight.get(id(e), 0) + size
-            seen[id(e)] = (e, depth)
-    everything = sum(s for _, s in chosen)
-    named = [x for k, x in seen.items() if x[0].tag in ("article", "main") and weight[k] >= 0.5 * everything]
-    if named:
-        top = max(named, key=lambda x: (x[0].tag == "article", x[1]))[0]
-    else:
-        top = max((x for k, x in seen.items() if weight[k] >= 0.9 * everything and x[0].tag not in HEADINGS and x[0].tag != "p"), key=lambda x: x[1], default=(None, 0))[0]
-
-    def inside(e):
-        while e is not None:
-            if e is top:
-                return True
-            e = e.parent
-        return top is None
-
-    return "\n".join(t for e, t, linked, _ in kept if inside(e) and (e.path in content or 2 * linked < len(t)))
+    score, level, ratio, counts = path_scores(paths, nodes)
+    limit = THRESHOLD * level
+    strict = np.minimum(score, ratio)
+    chars = np.zeros(len(score))
+    for p, text, _ in nodes:
+        chars[p] += len(text)
+    held = paths.subtree(np.where(strict >= limit, chars, 0) * (counts > 0))
+    top = int(np.flatnonzero((held >= NEARLY_ALL * held[0]) & np.array(paths.single))[-1])
+    inside = np.zeros(len(score), bool)
+    inside[top] = True
+    for k in range(top + 1, len(score)):
+        inside[k] = inside[paths.parent[k]]
+    blended = np.where(inside & (held[0] > 0), (score + level * counts) / 2, strict)
+    content = blended >= limit
+    return "\n".join(t for p, t, _ in nodes if content[p])
 
 
 def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import zlib
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -458,6 +459,59 @@ def test_main_text(spark):
     assert sorted(map(tuple, html_text.extract(d, ["page_id", "url"]).collect()), key=str) == sorted([(1, "u", want, len(want))] * 2 + [(2, None, "", 0)], key=str)
 
 
+class Plain(HTMLParser):
+    """The made pages' articles, written out: blocks of <article>, by the standard parser."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.inside, self.parts, self.blocks = False, [], []
+        self.feed(page)
+        self.cut()
+
+    def cut(self):
+        if text := " ".join("".join(self.parts).split()):
+            self.blocks.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.parts.append(" ")
+        elif tag not in ("b", "a", "i", "em", "span"):
+            self.cut()
+        self.inside |= tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "article", "h1"):
+            self.cut()
+        self.inside &= tag != "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.parts.append(data)
+
+
+def test_main_text_of_every_page(spark, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    want = ["\n".join(Plain(p or "").blocks) for p in pages]
+    assert [html_text.main_text(p) for p in pages] == want and len(pages) > 200
+    monkeypatch.setattr(html_text, "THRESHOLD", 0)  # the threshold on the path ratios is what decides
+    assert not any(html_text.main_text(p) == w for p, w in zip(pages, want) if p)
+
+
+def test_main_text_without_telling_names():
+    """Ratios alone: no article element, no class, no navigation element."""
+    rng = random.Random(3)
+    say = lambda: " ".join(words(rng, 12) + rng.choice([",", "."]) for _ in range(6))
+    body = [say() for _ in range(9)]
+    menu = "".join(f"<li><a href=x>{words(rng, 2)}</a></li>" for _ in range(8))
+    page = f"<body><div><ul>{menu}</ul></div><div><div><h2>A title</h2>{''.join(f'<p>{b}</p>' for b in body)}<ul><li>one</li><li>two</li></ul><p>{body[0]}</p></div></div><div><span>Contact us</span></div></body>"
+    assert html_text.main_text(page) == "\n".join(["A title", *body, "one", "two", body[0]])
+
+
+def test_main_text_of_deep_pages():
+    assert html_text.main_text("<div>" * 100_000 + "Deep text, with words." + "</div>" * 100_000 + "<nav>x</nav>") == "Deep text, with words."
+
+
 def test_licenses(spark, odd, none):
     m = licenses.model()
     assert m.paragraph("Licensed under the Apache License, Version 2.0.")[0] == "apache-2.0"
