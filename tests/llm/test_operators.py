@@ -409,39 +409,65 @@ def test_pairs_learn_what_single_features_cannot():
     assert ((quality_model.AdditiveModel(pairs=2).fit(x, y).score(x) > 0.5) == y).mean() > 0.9
 
 
+def brute_nearest(rows, k=5):
+    """By row number: the k nearest (score, id) of each row whose id 50 divides; lengths apart, its own row left out."""
+    out = {}
+    for n, (q, v) in enumerate(rows):
+        if q % 50 == 0:
+            near = [(-float(v @ w) / float(np.sqrt((v @ v) * (w @ w))), i) for m, (i, w) in enumerate(rows) if m != n and len(w) == len(v)]
+            out[n] = sorted((round(s, 12), i) for s, i in near)[:k]
+    return out
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 16))
     rows = [(i, [float(v) for v in x[i]]) for i in range(400)]
-    rows += [(1000 + i, rows[0][1]) for i in range(8)] + [(2000, None), (2050, [0.0] * 16), (2100, [float("nan")] * 16), (2150, [1.0]), (None, rows[1][1])]
+    rows += [(1000 + i, rows[0][1]) for i in range(8)] + [(2000, None), (2050, [0.0] * 16), (2100, [float("nan")] * 16), (None, rows[1][1])]
+    rows += [(50, rows[50][1]), (50, rows[50][1]), (100, rows[7][1])]  # a query's row repeated, and its id with another vector
+    rows += [(2150, [1.0]), (2151, [-2.0]), (2152, [4.0]), (2200, [3e200] * 16), (2250, [2e-200] * 15 + [1e-200])]
     got = vector_search.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
-    ok = [(i, np.array(v)) for i, v in rows if i is not None and v is not None and len(v) == 16 and np.isfinite(v).all() and any(v)]
-    hits = total = 0
-    for q, v in ok:
-        if q % 50 == 0:
-            s = sorted((-(v @ w) / np.sqrt((v @ v) * (w @ w)), i) for i, w in ok if i != q)[:5]
-            mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
-            assert [r[0] for r in mine] == [1, 2, 3, 4, 5]
-            hits += len({i for _, i in s} & {i for _, i, _ in mine})
-            total += 5
-    assert hits / total >= 0.9
+    ok = [(i, vector_search.scaled(np.array([v]))[0]) for i, v in rows if i is not None and v is not None and np.isfinite(v).all() and any(v)]
+    want = collections.Counter()
+    for n, near in brute_nearest(ok).items():
+        if ok[n][0] != 50 or n == 50:  # equal rows are one query
+            want.update((ok[n][0], r + 1, i, -s) for r, (s, i) in enumerate(near))
+    assert collections.Counter((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 12)) for r in got) == want
     assert sorted(r["vec_id"] for r in got if r["query_id"] == 0) == [1000, 1001, 1002, 1003, 1004]
+    assert sorted(r["vec_id"] for r in got if r["query_id"] == 50)[:2] == [50, 50] and [r["vec_id"] for r in got if r["query_id"] == 2150] == [2152, 2151]
     assert vector_search.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
-def test_nearest_recall_with_lists(spark):
-    d = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
-    x = np.array([r["embedding"] for r in d.orderBy("vec_id").collect()], float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    got = collections.defaultdict(set)
+@pytest.mark.parametrize("clusters", [40, 0])
+def test_nearest_recall_with_lists(spark, clusters):
+    """Over several lists: recall, exact scores, one vector on a third of the rows, and repeated rows."""
+    rng = np.random.default_rng(clusters)
+    x = rng.normal(size=(21_000, 16))
+    if clusters:
+        x = 0.25 * x + rng.normal(size=(clusters, 16))[rng.integers(0, clusters, len(x))]
+        x[12_000:19_000] = x[7]
+    x = x.astype(np.float32).astype(float)
+    ids = np.arange(len(x))
+    ids[20_950] = 20_900  # a repeated row
+    x[20_950] = x[20_900]
+    d = spark.createDataFrame([(int(i), [float(a) for a in v]) for i, v in zip(ids, x)], "vec_id bigint, embedding array<float>")
+    got = collections.defaultdict(dict)
     for r in vector_search.nearest(d).collect():
-        got[r["query_id"]].add(r["vec_id"])
+        got[r["query_id"]][r["rank"]] = (r["vec_id"], r["score"])
+    u = vector_search.unit(x)
     hits = 0
+    assert set(got) == {int(i) for i in ids if i % 50 == 0}
     for q in got:
-        s = x @ x[q]
+        s = u @ u[q]
         s[q] = -9
-        hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+        assert sorted(got[q]) == [1, 2, 3, 4, 5]
+        for i, score in got[q].values():
+            assert abs(float(u[q] @ u[i]) - score) < 1e-12
+        edge = np.sort(s)[-5]
+        hits += sum(score >= edge - 1e-12 for _, score in got[q].values())
     assert hits / (5 * len(got)) >= 0.9
+    if clusters:
+        assert [i for i, _ in got[12_000].values()] == [7, 12_001, 12_002, 12_003, 12_004]
 
 
 PAGE = """<html><body class="has-sidebar"><header><h1>Site</h1><a href=x>Home</a></header><div id="cookie-notice">We use cookies. Accept?</div>
