@@ -29,20 +29,31 @@ def test_looser_cap_links_no_fewer(planted):
 
 
 def plain_replay(rows, max_shared, max_ring):
-    """(id, client, [values by attribute]) in order, over everything at once."""
-    seen, forest, out = {}, rings.Forest(), {}
+    """(id, client, [values by attribute]) in order, over everything at once; rings are lists of nodes, searched."""
+    seen, groups, out = {}, [], {}  # groups: [name, nodes]
+
+    def of(node):
+        for g in groups:
+            if node in g[1]:
+                return g
+        groups.append([node, [node]])
+        return groups[-1]
+
+    n_clients = lambda g: sum(x.startswith("c:") for x in g[1])
     for i, client, values in rows:
         c = "c:" + client
-        forest.add(c, True)
+        of(c)
         for a, v in enumerate(values):
             if v is None:
                 continue
             s = seen.setdefault((a, v), set())
             s.add(client)
             if len(s) <= max_shared:
-                forest.add(f"{a}={v}", False)
-                forest.union(c, f"{a}={v}", max_ring)
-        out[i] = forest.find(c)
+                one, two = of(c), of(f"{a}={v}")
+                if one is not two and n_clients(one) + n_clients(two) <= max_ring:
+                    name = one[0] if len(one[1]) >= len(two[1]) else two[0]
+                    groups[:] = [g for g in groups if g is not one and g is not two] + [[name, one[1] + two[1]]]
+        out[i] = of(c)[0]
     return out
 
 
@@ -63,11 +74,10 @@ def test_prefix_keeps_its_rings(planted):
     assert part and all(whole[k] == v for k, v in part.items())
 
 
-def test_union_find_refuses_beyond_the_limit():
-    f = rings.Forest()
-    for x in "abc":
-        f.add(x, True)
-    assert f.union("a", "b", 2) and not f.union("b", "c", 2) and f.union("a", "b", 2) and f.find("a") == f.find("b") != f.find("c")
+def test_membership_refuses_beyond_the_limit():
+    m = rings.Membership(2)
+    a, b, c = (m.enter(x, 1) for x in "abc")
+    assert m.merge(a, b) and not m.merge(m.ring["b"], c) and m.merge(m.ring["a"], m.ring["b"]) and m.ring["a"] == m.ring["b"] == "a" != m.ring["c"]
 
 
 def history(planted, where="true"):
