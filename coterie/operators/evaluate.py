@@ -1,4 +1,8 @@
-"""Evaluation in money and in review capacity; every metric is one pass and a window over distinct scores."""
+"""Evaluation in money and in review capacity; every metric is one pass and running sums over distinct scores.
+
+Running sums go by ranges of scores: sums within each range, and the sums of the ranges before it, which
+are one row per shuffle partition.  No task sees more than its range.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coterie.functions.numeric import ratio
+from coterie.functions.storage import materialize
 
 
 @dataclass(frozen=True)
@@ -34,18 +39,30 @@ class CostModel:
         return asdict(self)
 
 
+def ranged(df: DataFrame, order: Column) -> DataFrame:
+    """The rows dealt by ranges of ``order``, with the range's number, written so that the numbers stay."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartitionByRange(n, order).withColumn("_range", F.spark_partition_id()))
+
+
 def _by_score(df: DataFrame) -> DataFrame:
-    """Per distinct score, descending: its positives and rows, and both so far."""
-    g = df.groupBy("score").agg(F.sum("y").alias("dp"), F.count(F.lit(1)).alias("dn"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return g.withColumns({"tp": F.sum("dp").over(down), "n": F.sum("dn").over(down)})
+    """Per distinct score, descending: its positives and rows, both so far, and both in all."""
+    g = ranged(df.groupBy("score").agg(F.sum("y").alias("dp"), F.count(F.lit(1)).alias("dn")), F.desc("score"))
+    sums = g.groupBy("_range").agg(F.sum("dp").alias("p"), F.sum("dn").alias("n"))  # one row per range from here on
+    up = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(F.lit(1))
+    offsets = sums.select(
+        "_range", F.coalesce(F.sum("p").over(up), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(up), F.lit(0)).alias("n0"),
+        F.sum("p").over(every).alias("p_all"), F.sum("n").over(every).alias("n_all"),
+    )
+    down = Window.partitionBy("_range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    out = g.join(F.broadcast(offsets), "_range")
+    return out.withColumns({"tp": F.col("p0") + F.sum("dp").over(down), "n": F.col("n0") + F.sum("dn").over(down)}).drop("_range", "p0", "n0")
 
 
 def headline(df: DataFrame) -> DataFrame:
     """One row of n, prevalence, pr_auc (step-wise average precision), its lift, roc_auc; columns y and score in."""
     s = _by_score(df)
-    every = Window.partitionBy(F.lit(1))
-    s = s.withColumns({"p_all": F.sum("dp").over(every), "n_all": F.sum("dn").over(every)})
     below = (F.col("p_all") - F.col("tp")) * (F.col("dn") - F.col("dp")) + 0.5 * F.col("dp") * (F.col("dn") - F.col("dp"))
     out = s.agg(
         F.max("n_all").alias("n"), F.max("p_all").alias("p"),
@@ -74,7 +91,7 @@ def precision_at_k(df: DataFrame, ks=(100, 500, 1000, 5000), id_col: str = "id")
 
 def recall_at_fp_budget(df: DataFrame, budgets=(0.001, 0.005, 0.01, 0.05)) -> DataFrame:
     """For each share of negatives one may flag: the score of the negative at that rank, and what it catches."""
-    s = _by_score(df).withColumn("fp", F.col("n") - F.col("tp"))
+    s = _by_score(df).drop("p_all", "n_all").withColumn("fp", F.col("n") - F.col("tp"))
     total = df.agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     want = total.select("pos", "neg", F.explode(F.array(*[F.lit(float(b)) for b in budgets])).alias("fp_budget"))
     want = want.withColumn("k", F.greatest(F.floor(F.col("fp_budget") * F.col("neg")), F.lit(1)))

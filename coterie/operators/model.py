@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import re
 from itertools import combinations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coterie.functions.numeric import logit
+from coterie.operators.evaluate import ranged
 from coterie.operators.split import first_by_time, valid_split
 from coterie.sources.adapters import ID, LABEL, TIME
 
@@ -49,10 +51,11 @@ class VBlockReducer:
 
     Columns are V followed by digits.  In a block they are taken by distinct count, most first (ties
     by column order), and kept while all absolute correlations with kept ones are below the limit; a
-    correlation that is null (a constant column) counts as too high.
+    correlation that is null (a constant column) counts as too high.  ``sample_rows``: the first rows by
+    time that are looked at, all if None.
     """
 
-    def __init__(self, corr_threshold: float = 0.75, sample_rows: int = 100_000):
+    def __init__(self, corr_threshold: float = 0.75, sample_rows: int | None = 100_000):
         self.corr_threshold, self.sample_rows = corr_threshold, sample_rows
         self.kept: list[str] = []
         self.dropped: list[str] = []
@@ -66,7 +69,7 @@ class VBlockReducer:
         self.kept, self.dropped = [], []
         if not cols:
             return self
-        sample = first_by_time(df.select(ID, TIME, *cols), self.sample_rows)
+        sample = df.select(*cols) if self.sample_rows is None else first_by_time(df.select(ID, TIME, *cols), self.sample_rows)
         one = sample.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(f"n_{c}") for c in cols], *[F.count_distinct(c).alias(f"d_{c}") for c in cols]).collect()[0]
         blocks: dict[int, list[str]] = {}
         for c in cols:
@@ -91,6 +94,18 @@ class VBlockReducer:
     def transform(self, df: DataFrame) -> DataFrame:
         return df.drop(*self.dropped)
 
+    def save(self, spark, path: str) -> None:
+        """The choice as one JSON line."""
+        line = json.dumps({"corr_threshold": self.corr_threshold, "kept": self.kept, "dropped": self.dropped})
+        spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> "VBlockReducer":
+        got = json.loads(spark.read.text(path).first()["value"])
+        out = cls(got["corr_threshold"])
+        out.kept, out.dropped = got["kept"], got["dropped"]
+        return out
+
 
 class TrainedModel:
     """Boosted trees with a logistic calibration on the logit of their score; both are saved."""
@@ -137,18 +152,28 @@ def fit_platt(scored: DataFrame):
 
 
 def rank_mismatches(df: DataFrame) -> DataFrame:
-    """One row: neighbours in raw order whose calibrated scores are in the opposite order."""
-    from pyspark.sql import Window
+    """One row: neighbours in raw order whose calibrated scores are in the opposite order.
 
-    # Distinct raw scores, each with the least and greatest calibrated score.
-    per = df.groupBy("raw_score").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    before = F.lag("hi").over(Window.orderBy("raw_score"))
-    return per.withColumn("bad", (before > F.col("lo")).cast("int")).agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("mismatches"))
+    Distinct raw scores, with their least and greatest calibrated score, are dealt by range; neighbours in
+    different ranges are compared over one row per range.
+    """
+    per = ranged(df.groupBy("raw_score").agg(F.min("score").alias("lo"), F.max("score").alias("hi")), F.asc("raw_score"))
+    before = F.lag("hi").over(Window.partitionBy("_range").orderBy("raw_score"))
+    inside = per.withColumn("bad", (before > F.col("lo")).cast("int")).groupBy("_range").agg(
+        F.sum("bad").alias("bad"), F.min_by("lo", "raw_score").alias("first"), F.max_by("hi", "raw_score").alias("last")
+    )
+    edge = (F.lag("last").over(Window.orderBy("_range")) > F.col("first")).cast("int")  # one row per range
+    both = inside.withColumn("edge", edge).agg(F.coalesce(F.sum("bad"), F.lit(0)) + F.coalesce(F.sum("edge"), F.lit(0)))
+    return both.toDF("mismatches")
 
 
 def train(df: DataFrame, names: list[str], calibrate: bool = True, max_iter: int = 40, step: float = 0.1, max_bins: int = 63,
           subsample: float = 0.8, seed: int = 42, valid_fraction: float = 0.2) -> TrainedModel:
-    """Boosting with early stopping on the last part of training time, then calibration on that part."""
+    """Boosting with early stopping on the last part of training time, then calibration on that part.
+
+    Text features are categories.  One with more levels than bins is a number instead, the rank of its
+    level by frequency, which trees cut into bins; levels not seen in training come last.
+    """
     if len(set(names)) != len(names):
         raise ValueError("feature names repeat")
     kinds = dict(df.dtypes)
@@ -158,8 +183,13 @@ def train(df: DataFrame, names: list[str], calibrate: bool = True, max_iter: int
     base = rows.withColumn("_y", F.col(LABEL).cast("double"))
     cast = _Cast(numeric)
     stages = [cast] if numeric else []
+    wide: list[str] = []
     if text:
-        stages.append(StringIndexer(inputCols=text, outputCols=[f"_i_{n}" for n in text], handleInvalid="keep"))
+        levels = base.agg(*[F.count_distinct(n).alias(f"n{i}") for i, n in enumerate(text)]).collect()[0]  # one row
+        wide = [n for i, n in enumerate(text) if levels[f"n{i}"] >= max_bins - 1]
+        stages.append(StringIndexer(inputCols=text, outputCols=[f"_s_{n}" if n in wide else f"_i_{n}" for n in text], handleInvalid="keep"))
+    if wide:
+        stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(f"`_s_{n}` + 0D AS `_i_{n}`" for n in wide) + " FROM __THIS__"))
     if numeric:
         stages.append(Imputer(inputCols=[f"_x_{n}" for n in numeric], outputCols=[f"_f_{n}" for n in numeric]))
     columns = [f"_i_{n}" if n in text else f"_f_{n}" for n in names]
@@ -173,7 +203,5 @@ def train(df: DataFrame, names: list[str], calibrate: bool = True, max_iter: int
 
 
 def _Cast(numeric: list[str]):
-    from pyspark.ml.feature import SQLTransformer
-
     picks = ", ".join(f"CAST(`{n}` AS DOUBLE) AS `_x_{n}`" for n in numeric)
     return SQLTransformer(statement=f"SELECT *, {picks} FROM __THIS__")

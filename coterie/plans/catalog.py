@@ -218,12 +218,12 @@ def selectivity_sweep(spark, sf):
 
 
 @query(f"""WITH {EVENTS_SQL}, g AS (SELECT ring AS ring_id, count(*) AS ring_n_tx, count(DISTINCT client) AS ring_n_clients, round(sum(CAST(amt AS DECIMAL(18,2)))::DOUBLE, 2) AS ring_total_amt,
-avg(amt) AS m, coalesce(stddev_samp(amt), 0) AS s, count(DISTINCT addr1) AS ring_n_addr, count(DISTINCT event_type) AS ring_n_pemail, (max(t) - min(t)) / 86400.0::DOUBLE AS sp FROM tx GROUP BY 1)
-SELECT ring_id, ring_n_tx, ring_n_clients, ring_total_amt, round(m, 4) AS ring_mean_amt, round(s, 4) AS ring_std_amt, ring_n_addr, ring_n_pemail, round(sp, 4) AS ring_span_days,
+sum(CAST(amt AS DECIMAL(18,2)))::DOUBLE / count(amt) AS m, coalesce(stddev_samp(amt), 0) AS s, count(DISTINCT addr1) AS ring_n_addr, count(DISTINCT event_type) AS ring_n_pemail, (max(t) - min(t)) / 86400.0::DOUBLE AS sp FROM tx GROUP BY 1)
+SELECT ring_id, ring_n_tx, ring_n_clients, ring_total_amt, round(m + 1e-7, 4) AS ring_mean_amt, round(s + 1e-7, 4) AS ring_std_amt, ring_n_addr, ring_n_pemail, round(sp, 4) AS ring_span_days,
 round(ring_n_tx / greatest(sp, 1), 4) AS ring_velocity, round(ring_n_clients / greatest(ring_n_addr, 1)::DOUBLE, 4) AS ring_cards_per_addr, round(s / greatest(m, 0.01), 4) AS ring_amt_cv FROM g""")
 def whole_frame_ring_features(spark, sf):
     d = rings.ring_features(tx_events(spark, sf))
-    return d.select("ring_id", "ring_n_tx", "ring_n_clients", "ring_total_amt", *_r("ring_mean_amt", "ring_std_amt", digits=4), "ring_n_addr", "ring_n_pemail",
+    return d.select("ring_id", "ring_n_tx", "ring_n_clients", "ring_total_amt", *[F.round(F.col(c) + 1e-7, 4).alias(c) for c in ("ring_mean_amt", "ring_std_amt")], "ring_n_addr", "ring_n_pemail",
                     *_r("ring_span_days", "ring_velocity", "ring_cards_per_addr", "ring_amt_cv", digits=4))
 
 
@@ -375,7 +375,7 @@ def v_block_corr(spark, sf):
 
 @query()
 def v_block_reducer(spark, sf):
-    r = model.VBlockReducer().fit(_v(spark, sf))
+    r = model.VBlockReducer(sample_rows=None).fit(_v(spark, sf))
     return spark.createDataFrame([(c, c in r.kept) for c in r.kept + r.dropped], "column_name string, kept boolean")
 
 
@@ -422,6 +422,16 @@ def dispute_triage(spark, sf):
     return d.select("id", "p_win", F.col("likely_friendly_fraud").alias("friendly"), "recommendation")
 
 
+@query(f"""WITH {SCORED_SQL}, q AS (SELECT round(quantile_cont(amt, 0.95), 6) AS q FROM s), p AS (SELECT s.* FROM s, q WHERE amt > q),
+r AS (SELECT *, row_number() OVER (ORDER BY score, id) AS lo, row_number() OVER (ORDER BY score DESC, id) AS hi FROM p)
+SELECT 'disp_' || id AS id, 'pay_' || id AS payment_id, round(amt * 88.0, 2) AS amount_inr, CASE WHEN lo = 1 THEN '4855' ELSE '4837' END AS reason_code, round(score, 9) AS fraud_score FROM r WHERE lo = 1
+UNION ALL SELECT 'disp_' || id, 'pay_' || id, round(amt * 88.0, 2), '4837', round(score, 9) FROM r WHERE hi = 1""")
+def dispute_samples(spark, sf):
+    """A dispute on the least and one on the most suspect of the large payments."""
+    d = disputes.sample_disputes(scored(spark, sf).withColumnsRenamed({"id": ID, "amt": AMOUNT}))
+    return d.select("id", "payment_id", F.round("amount_inr", 2).alias("amount_inr"), "reason_code", F.round("fraud_score", 9).alias("fraud_score"))
+
+
 def assignments(spark, sf):
     """What a drafter might propose: documents on file, twice, and one that is not."""
     d = dispute_rows(spark, sf).where("size(evidence) > 0")

@@ -13,7 +13,7 @@ from coterie.operators.evaluate import CostModel, summary_report
 from coterie.operators.history import LABEL_LAG_DAYS, add_ring_history
 from coterie.operators.model import feature_names
 from coterie.operators.split import train_test
-from coterie.sources.adapters import ID
+from coterie.sources.adapters import ID, TIME
 
 
 @dataclass
@@ -78,6 +78,15 @@ def read_report(spark, path: str, name: str) -> DataFrame | None:
         return None
 
 
+def read_curve(spark, path: str) -> DataFrame:
+    """The cost curve of a report from its CSV; the columns are declared, not inferred."""
+    whole = ("tp", "fp", "fn")
+    names = ("threshold flag_rate tp fp fn precision recall loss_avoided_inr fraud_loss_inr fp_friction_inr review_cost_inr "
+             "total_loss_inr net_saving_inr baseline_loss_inr").split()
+    schema = ", ".join(f"{n} {'bigint' if n in whole else 'double'}" for n in names)
+    return spark.read.schema(schema).option("header", True).csv(f"{path}/cost_curve_csv")
+
+
 def load_scored(spark, path: str, model, names: list[str]) -> DataFrame:
     """The test split with scores; only the columns needed are read."""
     extra = [c for c in ("isFraud", "TransactionDT", "TransactionAmt", "ring_id", "client_id", ID) if c not in names]
@@ -91,7 +100,7 @@ def ablation(df: DataFrame, run, lags=(LABEL_LAG_DAYS, 0)) -> list[dict]:
 
 
 def cli(argv: list[str] | None = None) -> int:
-    """``python -m coterie prepare|status ...`` for spark-submit."""
+    """``python -m coterie prepare|train|rings ...`` for spark-submit."""
     import argparse
 
     from pyspark.sql import SparkSession
@@ -108,9 +117,12 @@ def cli(argv: list[str] | None = None) -> int:
     p.add_argument("--leaky", action="store_true")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("coterie").getOrCreate()
-    done = prepare(tx_events(spark, a.data), ("k_day",), a.max_shared_clients, a.max_ring_clients, a.label_lag_days, leaky_whole_frame=a.leaky)
+    rows = tx_events(spark, a.data)
+    done = prepare(rows, ("k_day",), a.max_shared_clients, a.max_ring_clients, a.label_lag_days, leaky_whole_frame=a.leaky)
     if a.command == "rings":
-        rings.ring_sizes(done.assigned.select("ring_id").withColumn("client_id", F.col("ring_id"))).write.mode("overwrite").json(a.out)
+        # A client counts once, in the ring of its last transaction.
+        last = done.assigned.join(rows.select(ID, TIME, "client_id"), ID).groupBy("client_id").agg(F.max_by("ring_id", F.struct(TIME, ID)).alias("ring_id"))
+        rings.ring_sizes(last).write.mode("overwrite").json(a.out)
         return 0
     save(done, a.out)
     if a.command == "train":

@@ -41,6 +41,10 @@ def test_report_round_trip(spark, scored, tmp_path):
     assert read_report(spark, f"file://{tmp_path}/r", "headline").count() == 1
     assert read_report(spark, f"file://{tmp_path}/r", "precision_at_k").count() == 4
     assert read_report(spark, f"file://{tmp_path}/r", "missing") is None
+    from coterie.plans.prepare import read_curve
+
+    back = read_curve(spark, f"file://{tmp_path}/r").orderBy("threshold").collect()
+    assert back == evaluate.cost_curve(scored).orderBy("threshold").collect()
 
 
 def test_average_precision_by_hand(spark):
@@ -65,10 +69,12 @@ def test_platt_refuses_inverted(spark):
         model.fit_platt(d)
 
 
-def test_v_reducer_drops_correlated_and_constant(spark):
+def test_v_reducer_drops_correlated_and_constant(spark, tmp_path):
     rows = [(i, i, float(i), float(2 * i + 1), float(i * 7 % 11), 1.0) for i in range(60)]
     d = spark.createDataFrame(rows, "TransactionID bigint, TransactionDT bigint, V1 double, V2 double, V3 double, V4 double")
     r = model.VBlockReducer().fit(d)
+    r.save(spark, f"file://{tmp_path}/v")
+    r = model.VBlockReducer.load(spark, f"file://{tmp_path}/v")
     assert r.kept == ["V1", "V3"] and set(r.transform(d).columns) == {"TransactionID", "TransactionDT", "V1", "V3"}
 
 
@@ -103,6 +109,38 @@ def test_draft_keeps_only_documents_on_file(spark):
     assert body["summary"] == ""
 
 
+def test_case_files_and_answers():
+    facts = {"ring_id": "r", "case_text": "Ring r"}
+    assert disputes.write_case_file(facts) == {"ring_id": "r", "facts": "Ring r"}
+    good = dict.fromkeys(disputes.CASE_FIELDS, "x") | {"recommended_action": "hold", "confidence": "low"}
+    assert disputes.write_case_file(facts, lambda *a: good) == good
+    for bad in (5, "[1]", {}, good | {"recommended_action": "burn"}):
+        with pytest.raises(ValueError):
+            disputes.write_case_file(facts, lambda *a: bad)
+
+
+def test_sample_disputes_and_prompts(spark):
+    d = spark.createDataFrame([(i, float(i), (i * 7 % 100) / 100) for i in range(1, 101)], "TransactionID bigint, TransactionAmt double, score double")
+    got = {r["reason_code"]: r for r in disputes.triage(disputes.sample_disputes(d)).collect()}
+    assert {c: r["id"] for c, r in got.items()} == {"4855": "disp_100", "4837": "disp_99"}
+    text = disputes.dispute_text(got["4855"].asDict()) + disputes.inventory_text(got["4855"]["evidence"])
+    assert "disp_100" in text and "sample-terms" in text and disputes.inventory_text([]) == "no documents on file"
+
+
+def test_text_of_many_levels_trains(spark):
+    rng = random.Random(2)
+    rows = [(i, i * 1000, f"d{rng.randrange(200)}", float(i % 7)) for i in range(600)]
+    d = spark.createDataFrame([(*r, int(r[2] < "d15")) for r in rows], "TransactionID bigint, TransactionDT bigint, DeviceInfo string, x double, isFraud int")
+    m = model.train(d, ["DeviceInfo", "x"], calibrate=False, max_iter=2)
+    new = spark.createDataFrame([(1, 1, "never seen", 1.0)], "TransactionID bigint, TransactionDT bigint, DeviceInfo string, x double")
+    assert m.predict(new).count() == 1
+
+
+def test_rank_mismatches(spark):
+    d = spark.createDataFrame([(float(i), float(i if i != 50 else 10)) for i in range(100)], "raw_score double, score double")
+    assert model.rank_mismatches(d).collect()[0][0] == 1
+
+
 def test_strict_schema():
     s = disputes.strict_schema({"type": "object", "properties": {"a": {"type": "object", "properties": {"b": {"type": "string", "default": ""}}}}})
     assert s["required"] == ["a"] and s["properties"]["a"]["additionalProperties"] is False and s["properties"]["a"]["required"] == ["b"]
