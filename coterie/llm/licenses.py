@@ -5,7 +5,8 @@ of the templates are the features of a sparse softmax regression over licence fa
 ``unknown``.  It is trained here, on the templates with words dropped, on mixtures, and on word
 salads of their own words and of common ones, and its temperature is set on held-out samples of the
 same kind so that the probability of a family means what it says.  A paragraph whose best family is
-probable enough is confirmed when its words contain a template of the family nearly whole.
+probable enough is confirmed where its words contain a template of the family nearly whole and, of the
+words that tell like licences apart (Affero, Lesser, ND, version numbers), those of the template and no others.
 
 A paragraph without one word that is typical of licences (its features alone could not lift a family
 over ``unknown``) needs no scoring, which is most.
@@ -34,6 +35,17 @@ TEMPLATES = {
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"],
     "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "GNU General Public License version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
                 "Licensed under the GPL, version 3 or later."],
+    "gpl-2.0": ["This work is licensed under the GNU General Public License, version 2.", "GNU General Public License version 2", "Licensed under the GPL, version 2."],
+    "agpl-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "GNU Affero General Public License version 3",
+                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License"],
+    "lgpl-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "GNU Lesser General Public License version 3"],
+    "lgpl-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1.", "GNU Lesser General Public License version 2.1"],
+    "epl-2.0": ["Eclipse Public License 2.0", "Eclipse Public License v 2.0", "Made available under the terms of the Eclipse Public License 2.0"],
+    "isc": ["ISC License", "Licensed under the ISC License.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted"],
+    "apache-1.1": ["Licensed under the Apache License, Version 1.1.", "Apache Software License, Version 1.1"],
+    "cc-by-nd-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "cc-by-nc-sa-4.0": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "cc-by-nc-nd-4.0": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
     "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Creative Commons BY-NC 4.0"],
     "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "cc-by-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
@@ -61,6 +73,9 @@ class LicenseModel:
         self.features = {g: i for i, g in enumerate(sorted({g for _, w in self.templates for g in grams(w)}))}
         self.telling = {w for _, t in self.templates for w in t} - COMMON
         self.bags = [(f, set(grams(w))) for f, w in self.templates]
+        # Words that tell a licence from one much like it: a place that has others of them is no notice of it.
+        words = [(f, frozenset(t)) for f, t in self.templates]
+        self.variants = frozenset().union(*(a ^ b for f, a in words for g, b in words if f != g and len(a & b) >= 0.6 * len(a | b))) - COMMON
         rng = Random(seed)
         x, y = self._samples(rng, 60)
         self.w = np.zeros((len(self.families), len(self.features) + 1), np.float32)
@@ -112,19 +127,8 @@ class LicenseModel:
         return family, float(p[i]), best
 
     def paragraph(self, line: str) -> tuple[str, float, float] | None:
-        """The most probable confirmed family of a paragraph, or None."""
-        words = _WORDS.findall(line.lower())
-        if self.telling.isdisjoint(words):
-            return None
-        best = None
-        for a in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2):
-            part = words[a : a + WINDOW]
-            if self.telling.isdisjoint(part):
-                continue
-            got = self.window(part)
-            if got[0] != "unknown" and got[1] >= MIN_PROBABILITY and got[2] >= MIN_SIMILARITY and (best is None or got[1:] > best[1:]):
-                best = got
-        return best
+        """The surest notice of a paragraph, or None."""
+        return max((tuple(h[1:]) for h in self.notices([line])), key=lambda h: h[1:], default=None)
 
     def spans(self, words: list[str], k: int) -> list[tuple[int, int, float]]:
         """(start, end, similarity) of the places where template ``k`` stands nearly whole, apart from each other."""
@@ -141,7 +145,8 @@ class LicenseModel:
             a += 1
         while score(a, b - 1) >= like:
             b -= 1
-        return [*self.spans(words[:a], k), (a, b, like), *((b + x, b + y, z) for x, y, z in self.spans(words[b:], k))]
+        here = self.variants.intersection(words[a:b]) == self.variants.intersection(self.templates[k][1])
+        return [*self.spans(words[:a], k), *([(a, b, like)] if here else []), *((b + x, b + y, z) for x, y, z in self.spans(words[b:], k))]
 
     def notices(self, lines: list[str]) -> list[tuple[int, str, float, float]]:
         """(line it begins in, family, probability, similarity) of each notice in lines that follow one another."""
@@ -161,8 +166,9 @@ class LicenseModel:
                 family, p, like = self.window(part)
                 if family != "unknown" and p >= MIN_PROBABILITY and like >= MIN_SIMILARITY:
                     found = [(z, y - x, x, y) for k, (f, _) in enumerate(self.bags) if f == family for x, y, z in self.spans(part, k)]
-                    _, _, x, y = max(found, default=(like, 0, 0, len(part)))
-                    sure.append((p, like, a + x, a + y, family))
+                    if found:
+                        like, _, x, y = max(found)
+                        sure.append((p, like, a + x, a + y, family))
         # What is not the window's first family, or runs over a line's end, is scored by its own words alone.
         for a in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2):
             part = words[a : a + WINDOW]

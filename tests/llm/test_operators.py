@@ -554,6 +554,19 @@ def found_in(text):
     return [h[1] for h in licenses.model().scan(text)[1]]
 
 
+def test_like_licenses_are_told_apart():
+    cases = {
+        "Licensed under CC BY-ND 4.0.": "cc-by-nd-4.0", "Licensed under CC BY 4.0.": "cc-by-4.0", "Licensed under CC BY-NC-SA 4.0.": "cc-by-nc-sa-4.0",
+        "GNU Affero General Public License version 3": "agpl-3.0", "GNU General Public License version 3": "gpl-3.0", "GNU General Public License version 2": "gpl-2.0",
+        "GNU Lesser General Public License version 2.1": "lgpl-2.1", "Eclipse Public License 2.0": "epl-2.0", "Licensed under the ISC License.": "isc",
+        "Licensed under the Apache License, Version 1.1.": "apache-1.1", "Licensed under the Apache License, Version 2.0.": "apache-2.0",
+    }
+    assert {t: found_in(t) for t in cases} == {t: [f] for t, f in cases.items()}
+    rng = random.Random(7)
+    for t, f in cases.items():
+        assert found_in(words(rng, 60) + " " + t + " " + words(rng, 60)) == [f]
+
+
 def test_wrapped_notices(spark):
     gpl = """/* This program is free software: you can redistribute it and/or modify
  * it under the terms of the GNU General Public License as published by
