@@ -119,10 +119,11 @@ class LicenseModel:
 
     def window(self, words: list[str]) -> tuple[str, float, float]:
         """(family or unknown, its probability, similarity to the family's best template)."""
-        p = self._softmax(self.w @ self.vector(words) * self.scale)
+        own = set(grams(words))
+        known = [i for g in own if (i := self.features.get(g)) is not None]
+        p = self._softmax((self.w[:, -1] + self.w[:, sorted(known)].sum(1, dtype=np.float64)) * self.scale)
         i = int(p.argmax())
         family = self.families[i]
-        own = set(grams(words))
         best = max((len(bag & own) / len(bag) for f, bag in self.bags if f == family), default=0.0)
         return family, float(p[i]), best
 
@@ -174,7 +175,10 @@ class LicenseModel:
             part = words[a : a + WINDOW]
             if self.telling.isdisjoint(part):
                 continue
-            for k, (family, _) in enumerate(self.bags):
+            own = self.features.keys() & grams(part)
+            for k, (family, bag) in enumerate(self.bags):
+                if len(bag & own) < MIN_SIMILARITY * len(bag):
+                    continue
                 for x, y, like in self.spans(part, k):
                     got = self.window(part[x:y])
                     if got[0] == family and got[1] >= MIN_PROBABILITY:

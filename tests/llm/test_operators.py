@@ -615,3 +615,18 @@ def test_pipeline_against_brute_force(spark, odd):
     pieces = c.STAGES[-1][1](spark, kept, SF)
     n = kept.count()
     assert pieces.select("doc_id").distinct().count() == kept.select("doc_id").distinct().count() and pieces.count() >= n
+
+
+def test_license_windows_equal_a_dense_plain_scorer():
+    import numpy as np
+
+    from coterie.llm import licenses
+
+    m = licenses.model()
+    for words in (t for _, t in m.templates):
+        words = ["some", "words", *words, "and", "more"]
+        z = m.w.astype(float) @ m.vector(words) * m.scale
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        family, got, like = m.window(words)
+        assert m.families[int(p.argmax())] == family and abs(p.max() - got) < 1e-6
+        assert like == max((len(b & set(licenses.grams(words))) / len(b) for f, b in m.bags if f == family), default=0.0)
