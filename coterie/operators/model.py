@@ -46,6 +46,12 @@ def pair_correlation(a: str, b: str):
     return F.try_divide(F.covar_pop(a, b), spread)
 
 
+def column_profile(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``column_name, nulls, n_distinct`` of each column, from one pass."""
+    per = [F.struct(F.lit(c).alias("column_name"), F.count_if(F.col(c).isNull()).alias("nulls"), F.count_distinct(c).alias("n_distinct")) for c in cols]
+    return df.agg(F.array(*per).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
 class VBlockReducer:
     """Drops columns that correlate with one already kept, within blocks of equal null counts.
 
@@ -70,10 +76,10 @@ class VBlockReducer:
         if not cols:
             return self
         sample = df.select(*cols) if self.sample_rows is None else first_by_time(df.select(ID, TIME, *cols), self.sample_rows)
-        one = sample.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(f"n_{c}") for c in cols], *[F.count_distinct(c).alias(f"d_{c}") for c in cols]).collect()[0]
+        profile = {r["column_name"]: r for r in column_profile(sample, cols).collect()}  # one row per column
         blocks: dict[int, list[str]] = {}
         for c in cols:
-            blocks.setdefault(one[f"n_{c}"], []).append(c)
+            blocks.setdefault(profile[c]["nulls"], []).append(c)
         wanted = [p for b in blocks.values() for p in combinations(b, 2)]
         corr: dict[frozenset, float | None] = {}
         for i in range(0, len(wanted), 200):  # columns of one aggregate row, not data
@@ -82,7 +88,7 @@ class VBlockReducer:
             corr |= {frozenset(p): row[f"c{k}"] for k, p in enumerate(part)}
         for b in blocks.values():
             keep: list[str] = []
-            for c in sorted(b, key=lambda c: (-one[f"d_{c}"], cols.index(c))):
+            for c in sorted(b, key=lambda c: (-profile[c]["n_distinct"], cols.index(c))):
                 values = [corr[frozenset((c, k))] for k in keep]
                 if all(v is not None and v < self.corr_threshold for v in values):
                     keep.append(c)

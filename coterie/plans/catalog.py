@@ -99,8 +99,8 @@ def time_valid_split(spark, sf):
 
 @query(f"WITH {EVENTS_SQL} SELECT id, ring, row_number() OVER r - 1 AS prior_tx FROM tx {W}")
 def ring_prior_counts(spark, sf):
-    d = tx_events(spark, sf)
-    return d.select(F.col(ID).alias("id"), F.col("ring_id").alias("ring"), (F.row_number().over(history.ring_window()) - 1).cast("long").alias("prior_tx"))
+    d = add_ring_history(tx_events(spark, sf))
+    return d.select(F.col(ID).alias("id"), F.col("ring_id").alias("ring"), F.col("ring_prior_tx").cast("long").alias("prior_tx"))
 
 
 @query(f"WITH {EVENTS_SQL} SELECT id, round(coalesce(sum(amt) OVER p, 0) + 1e-7, 4) AS amt_sum, round(coalesce(avg(amt) OVER p, 0) + 1e-7, 4) AS amt_mean FROM tx {W}")
@@ -248,7 +248,7 @@ def causal_ring_features(spark, sf):
     from coterie.plans.prepare import prepare
 
     p = prepare(tx_events(spark, sf), ("k_day",))
-    return p.train.unionByName(p.test).select(ID, "ring_id", *history.FEATURES)
+    return p.rows.select(ID, "ring_id", *history.FEATURES)
 
 
 # ---- evaluation: a pseudo-score that any engine computes alike
@@ -363,17 +363,19 @@ V_SQL = "v AS (SELECT l_quantity AS V1, l_extendedprice AS V2, CASE WHEN l_linen
 
 @query(f"WITH {V_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, (count(*) - count({c}))::BIGINT AS nulls, count(DISTINCT {c}) AS n_distinct FROM v" for c in ("V1", "V2", "V3", "V10")))
 def v_block_nulls(spark, sf):
-    d, cols = _v(spark, sf), ("V1", "V2", "V3", "V10")
-    one = d.agg(*[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in cols], *[F.count_distinct(c).alias(f"d_{c}") for c in cols])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n_{c}").alias("nulls"), F.col(f"d_{c}").alias("n_distinct")) for c in cols])).alias("x")).select("x.*")
+    return model.column_profile(_v(spark, sf), ["V1", "V2", "V3", "V10"])
 
 
 @query(f"WITH {V_SQL} SELECT round(abs(corr(V1, V2)), 6) AS c12, round(abs(corr(V3, V10)), 6) AS c310 FROM v")
 def v_block_corr(spark, sf):
-    return _v(spark, sf).agg(F.round(F.abs(F.corr("V1", "V2")), 6).alias("c12"), F.round(F.abs(F.corr("V3", "V10")), 6).alias("c310"))
+    pair = lambda a, b: F.round(F.abs(model.pair_correlation(a, b)), 6)
+    return _v(spark, sf).agg(pair("V1", "V2").alias("c12"), pair("V3", "V10").alias("c310"))
 
 
-@query()
+@query(f"""WITH {V_SQL}, p AS (SELECT (count(*) FILTER (V1 IS NULL)) = (count(*) FILTER (V2 IS NULL)) AS same12, (count(*) FILTER (V3 IS NULL)) = (count(*) FILTER (V10 IS NULL)) AS same310,
+abs(corr(V1, V2)) < 0.75 AS free12, abs(corr(V3, V10)) < 0.75 AS free310, count(DISTINCT V1) >= count(DISTINCT V2) AS first1, count(DISTINCT V3) >= count(DISTINCT V10) AS first3 FROM v)
+SELECT 'V1' AS column_name, NOT same12 OR first1 OR coalesce(free12, false) AS kept FROM p UNION ALL SELECT 'V2', NOT same12 OR NOT first1 OR coalesce(free12, false) FROM p
+UNION ALL SELECT 'V3', NOT same310 OR first3 OR coalesce(free310, false) FROM p UNION ALL SELECT 'V10', NOT same310 OR NOT first3 OR coalesce(free310, false) FROM p""")
 def v_block_reducer(spark, sf):
     r = model.VBlockReducer(sample_rows=None).fit(_v(spark, sf))
     return spark.createDataFrame([(c, c in r.kept) for c in r.kept + r.dropped], "column_name string, kept boolean")

@@ -22,6 +22,7 @@ class Prepared:
     test: DataFrame
     names: list[str] = field(default_factory=list)
     assigned: DataFrame | None = None
+    rows: DataFrame | None = None  # all of them, those between the splits too
 
 
 def prepare(df: DataFrame, attrs=rings.LINK_ATTRS, max_shared: int = rings.MAX_SHARED, max_ring: int = rings.MAX_RING,
@@ -40,7 +41,7 @@ def prepare(df: DataFrame, attrs=rings.LINK_ATTRS, max_shared: int = rings.MAX_S
     else:
         df = add_ring_history(df, label_lag_days, labels)
     train, test = train_test(df)
-    return Prepared(train, test, feature_names(train), assigned)
+    return Prepared(train, test, feature_names(train), assigned, df)
 
 
 def save(prepared: Prepared, path: str) -> None:

@@ -29,7 +29,10 @@ def test_looser_cap_links_no_fewer(planted):
 
 
 def plain_replay(rows, max_shared, max_ring):
-    """(id, client, [values by attribute]) in order, over everything at once; rings are lists of nodes, searched."""
+    """(id, client, [values by attribute]) in order, over everything at once; rings are lists of nodes, searched.
+
+    By id: the ring, the attributes of edges first seen and taken, those of edges refused.
+    """
     seen, groups, out = {}, [], {}  # groups: [name, nodes]
 
     def of(node):
@@ -43,17 +46,23 @@ def plain_replay(rows, max_shared, max_ring):
     for i, client, values in rows:
         c = "c:" + client
         of(c)
+        made, refused = [], []
         for a, v in enumerate(values):
             if v is None:
                 continue
             s = seen.setdefault((a, v), set())
+            new = client not in s
             s.add(client)
             if len(s) <= max_shared:
                 one, two = of(c), of(f"{a}={v}")
-                if one is not two and n_clients(one) + n_clients(two) <= max_ring:
+                if one is not two and n_clients(one) + n_clients(two) > max_ring:
+                    refused.append(a)
+                    continue
+                made += [a] * new
+                if one is not two:
                     name = one[0] if len(one[1]) >= len(two[1]) else two[0]
                     groups[:] = [g for g in groups if g is not one and g is not two] + [[name, one[1] + two[1]]]
-        out[i] = of(c)[0]
+        out[i] = of(c)[0], made, refused
     return out
 
 
@@ -61,11 +70,20 @@ def test_causal_rings_equal_one_plain_replay(planted):
     d = frame(planted)
     attrs = ("addr1", "P_emaildomain", "DeviceInfo")
     for cap, limit in ((20, 50), (4, 5), (60, 12)):
-        got = {r[ID]: r["ring_id"] for r in rings.assign_rings_causally(d, attrs, cap, limit).collect()}
+        got = {r[ID]: (r["ring_id"], r["made"], r["refused"]) for r in rings.assign_rings_causally(d, attrs, cap, limit).collect()}
         rows = d.select(ID, TIME, "client_id", *[F.col(a).cast("string").alias(a) for a in attrs]).orderBy(TIME, ID).collect()
         assert got == plain_replay([(r[0], r[2], r[3:]) for r in rows], cap, limit)
 
 
+def test_first_rows_of_hubs_are_ranked_before_the_exchange(planted):
+    plan = rings.edges_before_demotion(frame(planted), ("addr1", "P_emaildomain"), 4)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("WindowGroupLimit") == 2
+    got = {(r["ai"], r["value"], r["client_id"], r["at"]["id"]) for r in plan.collect()}
+    rows = rings.gated(frame(planted), ("addr1", "P_emaildomain"), 4).where("eligible and was_new = 1").collect()
+    assert got == {(r["ai"], r["value"], r["client_id"], r[ID]) for r in rows}
+
+
 def test_prefix_keeps_its_rings(planted):
     d = frame(planted)
     cut = d.select(F.percentile(TIME, F.lit(0.5))).collect()[0][0]
