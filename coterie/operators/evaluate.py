@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coterie.functions.numeric import ratio
-from coterie.functions.storage import materialize
+from coterie.functions.quantile import exact_quantiles, ranged
 
 
 @dataclass(frozen=True)
@@ -39,12 +39,6 @@ class CostModel:
         return asdict(self)
 
 
-def ranged(df: DataFrame, order: Column) -> DataFrame:
-    """The rows dealt by ranges of ``order``, with the range's number, written so that the numbers stay."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(df.repartitionByRange(n, order).withColumn("_range", F.spark_partition_id()))
-
-
 def _by_score(df: DataFrame) -> DataFrame:
     """Per distinct score, descending: its positives and rows, both so far, and both in all."""
     g = ranged(df.groupBy("score").agg(F.sum("y").alias("dp"), F.count(F.lit(1)).alias("dn")), F.desc("score"))
@@ -108,8 +102,8 @@ def cost_curve(df: DataFrame, cost: CostModel = CostModel(), n_thresholds: int =
 
     Work grows with the rows, not with rows times thresholds.  ``df``: y, score, amt (dollars).
     """
-    qs = F.array(*[F.lit(i / (n_thresholds - 1)) for i in range(n_thresholds)])
-    cuts = df.agg(F.array_sort(F.array_distinct(F.percentile("score", qs))).alias("cuts")).withColumn("_one", F.lit(1))
+    at = exact_quantiles(df, "score", [i / (n_thresholds - 1) for i in range(n_thresholds)])
+    cuts = at.select(F.array_sort(F.array_distinct("q")).alias("cuts"), F.lit(1).alias("_one"))
     inr = cost.to_inr(F.col("amt"))
     rows = df.withColumn("_one", F.lit(1)).join(F.broadcast(cuts), "_one")  # one row of thresholds
     below = F.size(F.filter("cuts", lambda t: t <= F.col("score")))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coterie.functions.numeric import logit
-from coterie.operators.evaluate import ranged
+from coterie.functions.quantile import ranged
 from coterie.operators.split import first_by_time, valid_split
 from coterie.sources.adapters import ID, LABEL, TIME
 

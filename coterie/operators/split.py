@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coterie.functions.quantile import exact_quantiles
 from coterie.sources.adapters import TIME
 
 TRAIN_FRACTION = 0.80
@@ -13,7 +14,7 @@ EMBARGO_SECONDS = 7 * 24 * 3600
 
 def with_cutoff(df: DataFrame, fraction: float) -> DataFrame:
     """``_cut``: the exact quantile of time on every row, from a one-row frame."""
-    cut = df.agg(F.round(F.percentile(TIME, F.lit(fraction)), 6).alias("_cut")).withColumn("_one", F.lit(1))
+    cut = exact_quantiles(df, TIME, [fraction]).select(F.round(F.col("q")[0], 6).alias("_cut"), F.lit(1).alias("_one"))
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(cut), "_one").drop("_one")  # one row
 
 

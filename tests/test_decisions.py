@@ -157,3 +157,18 @@ def test_end_to_end_model(spark, planted):
     s = m.predict(d).select(F.col("isFraud").alias("y"), "score")
     h = evaluate.headline(s).collect()[0]
     assert h["pr_auc"] > h["prevalence"] and any(r for _, g, r in m.importance() if g > 0)
+
+
+def test_exact_quantiles_equal_percentile(spark):
+    import random
+
+    from coterie.functions.quantile import exact_quantiles
+
+    rng, fractions = random.Random(5), [0.0, 0.001, 0.25, 0.5, 0.803, 0.999, 1.0, 0.5]
+    many = [(rng.choice([1.0, 2.0, 2.0, rng.random() * 5]),) for _ in range(4001)] + [(None,)] * 50
+    for rows in (many, [(3.0,)], [(1.0,), (2.0,)], [(7.0,)] * 900):
+        d = spark.createDataFrame(rows, "x double")
+        want = d.agg(F.percentile("x", F.array(*[F.lit(f) for f in fractions])).alias("q")).collect()[0]["q"]
+        got = exact_quantiles(d, "x", fractions).collect()[0]["q"]
+        assert len(got) == len(want) and all(abs(a - b) < 1e-9 for a, b in zip(got, want))
+    assert exact_quantiles(spark.createDataFrame([(None,)], "x double"), "x", [0.5]).collect()[0]["q"] is None
