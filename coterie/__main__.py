@@ -1,4 +1,4 @@
-from coterie.plans.prepare import cli
+from coterie.plans.commands import cli
 
 if __name__ == "__main__":
     raise SystemExit(cli())

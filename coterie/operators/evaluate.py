@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from coterie.functions.numeric import ratio
 from coterie.functions.quantile import exact_quantiles, ranged
+from coterie.functions.storage import materialize
 
 
 @dataclass(frozen=True)
@@ -146,6 +147,6 @@ def thin_curve(curve: DataFrame, keep_below: float = 0.25, every: int = 4) -> Da
 
 
 def summary_report(df: DataFrame, cost: CostModel = CostModel()) -> dict[str, DataFrame | dict]:
-    curve = cost_curve(df, cost)
+    curve = materialize(cost_curve(df, cost))  # a row per threshold, read by several
     return {"headline": headline(df), "precision_at_k": precision_at_k(df), "recall_at_fp_budget": recall_at_fp_budget(df),
             "cost_curve": curve, "optimal": optimal_operating_point(curve), "cost_model": cost.to_dict()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from itertools import combinations
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -130,10 +131,13 @@ class TrainedModel:
         slope, base = float(self.platt.coefficients[0]), float(self.platt.intercept)
         return out.withColumn("score", 1 / (1 + F.exp(-(slope * logit("raw_score") + base))))
 
-    def importance(self) -> list[tuple[str, float, bool]]:
-        """(feature, share of gain, is a ring feature), most first."""
-        gains = self.trees.stages[-1].featureImportances.toArray()
-        return sorted(((n, float(g), n.startswith(RING_PREFIXES)) for n, g in zip(self.names, gains)), key=lambda x: -x[1])
+    def importance(self) -> list[tuple[str, float, int, bool]]:
+        """(feature, share of gain, splits, is a ring feature), most first."""
+        trees = self.trees.stages[-1]
+        used = Counter(int(i) for i in re.findall(r"If \(feature (\d+) ", trees.toDebugString))
+        gains = trees.featureImportances.toArray()
+        rows = ((n, float(g), used[i], n.startswith(RING_PREFIXES)) for i, (n, g) in enumerate(zip(self.names, gains)))
+        return sorted(rows, key=lambda x: -x[1])
 
     def save(self, path: str) -> None:
         self.trees.write().overwrite().save(path + "/trees")

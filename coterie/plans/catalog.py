@@ -467,20 +467,20 @@ def _model_frame(spark, sf):
 def gbt_scores(spark, sf):
     d, names = _model_frame(spark, sf)
     train, test = split.train_test(d)
-    return model.train(train, names, max_iter=8).predict(test).select(F.col(ID).alias("id"), F.col(LABEL).alias("y"), "raw_score", "score")
+    return model.train(train, names).predict(test).select(F.col(ID).alias("id"), F.col(LABEL).alias("y"), "raw_score", "score")
 
 
 @query("SELECT 0::BIGINT AS mismatches")
 def platt_rank_check(spark, sf):
     d, names = _model_frame(spark, sf)
     train, test = split.train_test(d)
-    return model.rank_mismatches(model.train(train, names, max_iter=4).predict(test))
+    return model.rank_mismatches(model.train(train, names).predict(test))
 
 
 @query()
 def feature_importance(spark, sf):
     d, names = _model_frame(spark, sf)
-    return spark.createDataFrame(model.train(split.train_test(d)[0], names, calibrate=False, max_iter=4).importance(), "feature string, gain double, is_ring_feature boolean")
+    return spark.createDataFrame(model.train(split.train_test(d)[0], names, calibrate=False).importance(), "feature string, gain double, splits int, is_ring_feature boolean")
 
 
 # ---- streaming

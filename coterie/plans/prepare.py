@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from coterie.functions.storage import materialize
 from coterie.operators import rings
 from coterie.operators.entity import add_time_features, resolve
 from coterie.operators.evaluate import CostModel, summary_report
 from coterie.operators.history import LABEL_LAG_DAYS, add_ring_history
-from coterie.operators.model import feature_names
+from coterie.operators.model import VBlockReducer, feature_names
 from coterie.operators.split import train_test
-from coterie.sources.adapters import ID, TIME
+from coterie.sources.adapters import ID
 
 
 @dataclass
@@ -44,26 +45,37 @@ def prepare(df: DataFrame, attrs=rings.LINK_ATTRS, max_shared: int = rings.MAX_S
     return Prepared(train, test, feature_names(train), assigned, df)
 
 
-def save(prepared: Prepared, path: str) -> None:
-    """Parquet by split, with the columns that travel along, and a JSON line of metadata."""
-    import json
+def save(prepared: Prepared, path: str, info: dict | None = None) -> None:
+    """Parquet by split, with the columns that travel along, the choice of V columns, and a JSON line of metadata.
 
+    The choice is made on the training rows.  Metadata: feature names, rows per split, ring diagnostics, ``info``.
+    """
     carried = [c for c in ("isFraud", "TransactionDT", "TransactionAmt", "ring_id", "client_id", ID) if c in prepared.train.columns]
     keep = [*prepared.names, *[c for c in carried if c not in prepared.names]]
     prepared.train.select(*keep).write.mode("overwrite").parquet(path + "/train")
     prepared.test.select(*keep).write.mode("overwrite").parquet(path + "/test")
     spark = prepared.train.sparkSession
-    meta = spark.createDataFrame([(json.dumps({"feature_names": prepared.names}),)], "value string")
-    meta.coalesce(1).write.mode("overwrite").text(path + "/meta")
+    train, test = (spark.read.parquet(f"{path}/{s}") for s in ("train", "test"))
+    VBlockReducer().fit(train).save(spark, path + "/columns")
+    rows = [] if prepared.assigned is None else rings.causal_diagnostics(prepared.assigned).collect()  # one row per attribute
+    meta = {"feature_names": prepared.names, "n_train": train.count(), "n_test": test.count(), "diagnostics": [r.asDict() for r in rows], **(info or {})}
+    write_json(spark, meta, path + "/meta")
+
+
+def write_json(spark, value, path: str) -> None:
+    """A small value as one JSON line."""
+    spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_json(spark, path: str):
+    return json.loads(spark.read.text(path).first()["value"])
 
 
 def write_report(scored: DataFrame, path: str, cost: CostModel = CostModel(), info: dict | None = None) -> None:
     """Metric tables as JSON lines and the cost curve as CSV, each in its folder; ``scored``: id, y, score, amt."""
-    import json
-
     spark = scored.sparkSession
-    parts = summary_report(scored, cost)
-    parts["info"] = spark.createDataFrame([(json.dumps({"cost_model": parts.pop("cost_model"), **(info or {})}),)], "json string")
+    parts = summary_report(materialize(scored), cost)  # every table reads it; rows are scored once
+    write_json(spark, {"cost_model": parts.pop("cost_model"), **(info or {})}, path + "/info")
     for name, table in parts.items():
         table.coalesce(1).write.mode("overwrite").json(f"{path}/{name}")
     parts["cost_curve"].coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/cost_curve_csv")
@@ -98,36 +110,3 @@ def ablation(df: DataFrame, run, lags=(LABEL_LAG_DAYS, 0)) -> list[dict]:
     """``run(prepared) -> dict`` for each label lag and for the whole-frame variant."""
     out = [{"variant": f"lag_{lag}", **run(prepare(df, label_lag_days=lag))} for lag in lags]
     return [*out, {"variant": "whole_frame", **run(prepare(df, leaky_whole_frame=True))}]
-
-
-def cli(argv: list[str] | None = None) -> int:
-    """``python -m coterie prepare|train|rings ...`` for spark-submit."""
-    import argparse
-
-    from pyspark.sql import SparkSession
-
-    from coterie.sources.adapters import tx_events
-
-    p = argparse.ArgumentParser(prog="coterie")
-    p.add_argument("command", choices=["prepare", "train", "rings"])
-    p.add_argument("--data", required=True, help="folder of the tables")
-    p.add_argument("--out", required=True)
-    p.add_argument("--max-shared-clients", type=int, default=rings.MAX_SHARED)
-    p.add_argument("--max-ring-clients", type=int, default=rings.MAX_RING)
-    p.add_argument("--label-lag-days", type=float, default=LABEL_LAG_DAYS)
-    p.add_argument("--leaky", action="store_true")
-    a = p.parse_args(argv)
-    spark = SparkSession.builder.appName("coterie").getOrCreate()
-    rows = tx_events(spark, a.data)
-    done = prepare(rows, ("k_day",), a.max_shared_clients, a.max_ring_clients, a.label_lag_days, leaky_whole_frame=a.leaky)
-    if a.command == "rings":
-        # A client counts once, in the ring of its last transaction.
-        last = done.assigned.join(rows.select(ID, TIME, "client_id"), ID).groupBy("client_id").agg(F.max_by("ring_id", F.struct(TIME, ID)).alias("ring_id"))
-        rings.ring_sizes(last).write.mode("overwrite").json(a.out)
-        return 0
-    save(done, a.out)
-    if a.command == "train":
-        from coterie.operators.model import train
-
-        train(done.train, [n for n in done.names if n != "k_day"]).save(a.out + "/model")
-    return 0

@@ -31,11 +31,38 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def load_raw(spark: SparkSession, transactions: str, identity: str, schema: T.StructType, identity_schema: T.StructType) -> DataFrame:
-    """Transactions with their identity rows, if any; dashes in identity column names become underscores."""
-    side = read_csv(spark, identity, identity_schema)
+# The text columns of the public card data; all others but the whole numbers are doubles.
+TEXT_COLUMNS = frozenset(
+    "ProductCD card4 card6 P_emaildomain R_emaildomain DeviceType DeviceInfo M1 M2 M3 M4 M5 M6 M7 M8 M9 id_12 id_15 id_16 id_23 id_27 id_28 "
+    "id_29 id_30 id_31 id_33 id_34 id_35 id_36 id_37 id_38".split()
+)
+WHOLE_COLUMNS = {ID: T.LongType(), TIME: T.LongType(), "card1": T.LongType(), LABEL: T.IntegerType()}
+
+
+def declared(spark: SparkSession, path: str) -> T.StructType:
+    """The schema of a raw CSV from its header line and the rule above; no value is looked at."""
+    def kind(name: str) -> T.DataType:
+        name = name.replace("-", "_")
+        return T.StringType() if name in TEXT_COLUMNS else WHOLE_COLUMNS.get(name, T.DoubleType())
+
+    return T.StructType([T.StructField(c, kind(c)) for c in spark.read.option("header", True).csv(path).columns])
+
+
+def present(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def load_raw(spark: SparkSession, transactions: str, identity: str, schema: T.StructType | None = None, identity_schema: T.StructType | None = None) -> DataFrame:
+    """Transactions with their identity rows, if any; dashes in identity column names become underscores.
+
+    Schemas that are not given are declared by the files' headers.  A file that is not there is named.
+    """
+    if absent := [p for p in (transactions, identity) if not present(spark, p)]:
+        raise FileNotFoundError(f"not there: {', '.join(absent)}")
+    side = read_csv(spark, identity, identity_schema or declared(spark, identity))
     side = side.toDF(*[c.replace("-", "_") for c in side.columns])
-    return read_csv(spark, transactions, schema).join(side, ID, "left")
+    return read_csv(spark, transactions, schema or declared(spark, transactions)).join(side, ID, "left")
 
 
 def tx_events(spark: SparkSession, sf_dir: str) -> DataFrame:

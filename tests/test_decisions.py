@@ -156,7 +156,7 @@ def test_end_to_end_model(spark, planted):
     m = model.train(d, names, calibrate=False, max_iter=5)
     s = m.predict(d).select(F.col("isFraud").alias("y"), "score")
     h = evaluate.headline(s).collect()[0]
-    assert h["pr_auc"] > h["prevalence"] and any(r for _, g, r in m.importance() if g > 0)
+    assert h["pr_auc"] > h["prevalence"] and any(r for _, g, n, r in m.importance() if g > 0 and n > 0)
 
 
 def test_exact_quantiles_equal_percentile(spark):
