@@ -449,9 +449,19 @@ def evidence_provenance(spark, sf):
     return disputes.validate_provenance(*assignments(spark, sf)).select("dispute_id", "pos", "slot", "document_id", "accepted", "first")
 
 
-@query()
+@query(f"""WITH {DISPUTES_SQL},
+a AS (SELECT d.*, coalesce(w, 0) AS w0, greatest(0, coalesce(w, 0) + ({_CASE('rc', disputes.REASONS)})::DOUBLE + CASE WHEN pd >= 2 THEN 0.08 ELSE 0 END - CASE WHEN ring THEN 0.2 ELSE 0 END)::DOUBLE AS l,
+CASE WHEN s >= 0.7 THEN 0.02 WHEN s <= 0.3 THEN 0.1 ELSE 0.1 + (s - 0.3) / 0.4 * -0.08 END::DOUBLE AS b, CASE WHEN s >= 0.7 THEN 0.15 WHEN s <= 0.3 THEN 0.62 ELSE 0.62 + (s - 0.3) / 0.4 * -0.47 END::DOUBLE AS c FROM d LEFT JOIN lf USING (id)),
+p AS (SELECT *, greatest(0, least(c, b + (c - b) * l / (l + 0.5))) AS p FROM a),
+r AS (SELECT id, amt, CASE WHEN days <= 2 THEN 'escalate_to_human' WHEN w0 = 0 THEN 'accept' WHEN s >= 0.7 THEN 'accept' WHEN p * (amt + 250) > 650 THEN 'contest' ELSE 'accept' END AS recommendation FROM p),
+doc AS (SELECT id, {', '.join(f"string_agg('doc-' || id || '-' || j, ',' ORDER BY j) FILTER (slot = '{s}') AS {s}" for s in disputes.SLOTS)},
+string_agg('doc-' || id || '-' || j, ',' ORDER BY 'doc-' || id || '-' || j) FILTER (slot = 'unknown_slot') AS bad FROM ev GROUP BY 1)
+SELECT r.id, round_even(amt * 100, 0)::BIGINT AS amount, 'draft' AS action, '' AS summary, {', '.join(f"CASE WHEN recommendation = 'contest' THEN coalesce({s}, '') ELSE '' END AS {s}" for s in disputes.SLOTS)},
+CASE WHEN doc.id IS NULL THEN '' ELSE concat_ws(',', bad, 'ghost-' || doc.id) END AS rejected, recommendation FROM r LEFT JOIN doc ON r.id = doc.id""")
 def contest_payloads(spark, sf):
-    return disputes.contest_payloads(disputes.triage(dispute_rows(spark, sf)), disputes.validate_provenance(*assignments(spark, sf)))
+    """Payloads with their lists of documents written out."""
+    d = disputes.contest_payloads(disputes.triage(dispute_rows(spark, sf)), disputes.validate_provenance(*assignments(spark, sf)))
+    return d.withColumns({c: F.array_join(c, ",") for c in (*disputes.SLOTS, "rejected")})
 
 
 # ---- learning
