@@ -25,6 +25,11 @@ def money(c) -> Column:
     return col(c).cast("decimal(18,2)")
 
 
+def rounded(c, digits: int) -> Column:
+    """A double rounded as SQL engines do, on the scaled binary number; Spark's round takes the shortest decimal instead."""
+    return F.round(col(c) * 10.0**digits, 0) / 10.0**digits
+
+
 def logit(p) -> Column:
     x = F.least(F.greatest(col(p), F.lit(1e-7)), F.lit(1 - 1e-7))
     return F.ln(x / (1 - x))

@@ -32,6 +32,10 @@ def exact_quantiles(df: DataFrame, column: str, fractions: list[float]) -> DataF
     begin = F.col("end") - F.col("n")
     hits = ranks.select("v", F.explode(F.filter(asked, lambda x: (x["k"] >= begin) & (x["k"] < F.col("end")))).alias("x")).select("v", "x.*")
     low, high = F.min_by("v", "k"), F.max_by("v", "k")
-    one = hits.groupBy("i").agg(F.when(F.max("k") == F.min("k"), low).otherwise((F.max("k") - F.max("at")) * low + (F.max("at") - F.min("k")) * high).alias("q"))
+    one = hits.groupBy("i").agg(low.alias("low"), high.alias("high"), (F.max("at") - F.min("k")).alias("part"), (F.max("k") == F.min("k")).alias("met"))
+    # As quantile_cont weighs them, to the last bit: one product is not rounded before the sum.  Rows equal to a
+    # threshold fall on its other side otherwise.  (reflect gives a string that holds every bit.)
+    mix = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), F.col("low"), 1 - F.col("part"), F.col("high") * F.col("part")).cast("double")
+    one = one.select("i", F.when(F.col("met"), F.col("low")).otherwise(mix).alias("q"))
     done = one.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("q"))  # one entry per fraction
     return done.select(F.when(F.size("q") > 0, F.col("q")).alias("q"))

@@ -172,3 +172,24 @@ def test_exact_quantiles_equal_percentile(spark):
         got = exact_quantiles(d, "x", fractions).collect()[0]["q"]
         assert len(got) == len(want) and all(abs(a - b) < 1e-9 for a, b in zip(got, want))
     assert exact_quantiles(spark.createDataFrame([(None,)], "x double"), "x", [0.5]).collect()[0]["q"] is None
+
+
+def test_exact_quantiles_equal_the_sql_bit_for_bit(spark):
+    import duckdb
+
+    from coterie.functions.quantile import exact_quantiles
+
+    at = [i / 199 for i in range(200)]
+    listed = ", ".join(f"{f!r}::DOUBLE" for f in at)
+    for n, m in ((1000, 10007), (4444, 97)):
+        got = exact_quantiles(spark.range(n).select((F.pmod(F.col("id") * 7919, F.lit(m)) / F.lit(float(m))).alias("x")), "x", at).collect()[0]["q"]
+        assert got == duckdb.sql(f"SELECT quantile_cont(range * 7919 % {m} / {m}.0::DOUBLE, [{listed}]) FROM range({n})").fetchall()[0][0]
+
+
+def test_halves_round_as_in_the_sql(spark):
+    import duckdb
+
+    from coterie.functions.numeric import rounded
+
+    got = [r[0] for r in spark.range(1, 40_000, 2).select(rounded((F.col("id") * 3) / F.lit(6e6), 6)).collect()]
+    assert got == [r[0] for r in duckdb.sql("SELECT round(range * 3 / 6e6::DOUBLE, 6) FROM range(1, 40000, 2)").fetchall()]
