@@ -11,7 +11,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coterie.functions.numeric import ratio
+from coterie.functions.numeric import ratio, rounded
 from coterie.functions.quantile import exact_quantiles, ranged
 from coterie.functions.storage import materialize
 
@@ -143,7 +143,7 @@ def thin_curve(curve: DataFrame, keep_below: float = 0.25, every: int = 4) -> Da
     """The curve for a chart: all points of low flag rate, and every fourth of the rest, rounded."""
     i = F.row_number().over(Window.orderBy("threshold")) - 1
     thin = curve.withColumn("_i", i).where((F.col("flag_rate") <= keep_below) | (F.col("_i") % every == 0)).drop("_i")
-    return thin.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in thin.dtypes])
+    return thin.select(*[rounded(c, 6).alias(c) if t == "double" else F.col(c) for c, t in thin.dtypes])
 
 
 def summary_report(df: DataFrame, cost: CostModel = CostModel()) -> dict[str, DataFrame | dict]:

@@ -193,3 +193,11 @@ def test_halves_round_as_in_the_sql(spark):
 
     got = [r[0] for r in spark.range(1, 40_000, 2).select(rounded((F.col("id") * 3) / F.lit(6e6), 6)).collect()]
     assert got == [r[0] for r in duckdb.sql("SELECT round(range * 3 / 6e6::DOUBLE, 6) FROM range(1, 40000, 2)").fetchall()]
+
+
+def test_thinned_curve_rounds_halves_as_the_sql_does(spark):
+    import duckdb
+
+    curve = spark.range(1, 40_000, 2).select(F.col("id").alias("threshold"), ((F.col("id") * 3) / F.lit(6e6)).alias("flag_rate"))
+    got = [r[0] for r in evaluate.thin_curve(curve).orderBy("threshold").select("flag_rate").collect()]
+    assert got == [r[0] for r in duckdb.sql("SELECT round(range * 3 / 6e6::DOUBLE, 6) FROM range(1, 40000, 2)").fetchall()]
