@@ -260,6 +260,26 @@ def test_equal_fingerprints_link_by_every_text(spark, monkeypatch):
     assert got == brute_kept(rows)
 
 
+def test_near_copies_are_sought_by_simhash_first(spark, monkeypatch):
+    """Copies within two bits are confirmed by the first comparison and not compared again; each pair is compared once."""
+    rng = random.Random(12)
+    base = words(rng, 400)
+    rows = [(0, base), *((k, base + " " + words(rng, 1)) for k in range(1, 9)), *((100 + k, words(rng, 200)) for k in range(20))]
+    fps = {d: near_dup.text_fingerprint(t) for d, t in rows}
+    near = [d for d in range(1, 9) if (fps[d] ^ fps[0]).bit_count() <= 2 and fps[d] != fps[0]]
+    asked, similar = [], near_dup._similar
+
+    def spy(pairs, *args):
+        out = similar(pairs, *args)
+        asked.append((pairs.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(near_dup, "_similar", spy)
+    got = {r["doc_id"] for r in near_dup.keep_one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_kept(rows) == {0, *range(100, 120)}
+    assert near and asked[0][1] >= 8 and asked[1][1] == 0 == asked[2][0]
+
+
 def brute_repeats(rows, n=suffix_dedup.LENGTH, first=False):
     data = [(d, t.encode()) for d, t in rows]
     seen = collections.Counter(b[i : i + n] for _, b in data for i in range(len(b) - n + 1))
